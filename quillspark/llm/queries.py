@@ -114,21 +114,21 @@ SELECT w.doc_id, w.source, w.size, w.source_size, w.target,
 FROM w LEFT JOIN f ON w.doc_id = f.doc_id""",
     "op4_line_windows": r"""
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 n AS (
-  SELECT doc_id, at, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l
   WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
 w AS (
-  SELECT doc_id, at, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS win,
-         lead(at, 1) OVER o AS at1, lead(at, 2) OVER o AS at2
-  FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY at)),
+  SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS win,
+         lead(pos, 1) OVER o AS pos1, lead(pos, 2) OVER o AS pos2
+  FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 k AS (
-  SELECT doc_id, at, at1, at2, row_number() OVER (PARTITION BY win ORDER BY doc_id, at) AS occurrence FROM w WHERE win IS NOT NULL),
+  SELECT doc_id, pos, pos1, pos2, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS occurrence FROM w WHERE win IS NOT NULL),
 gone AS (
-  SELECT DISTINCT doc_id, unnest([at, at1, at2]) AS at FROM k WHERE occurrence > 1)
+  SELECT DISTINCT doc_id, unnest([pos, pos1, pos2]) AS pos FROM k WHERE occurrence > 1)
 SELECT l.doc_id,
-       coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE gone.at IS NULL), '') AS text,
-       CAST(count(*) AS BIGINT) AS n_lines, CAST(count(gone.at) AS BIGINT) AS n_removed
-FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.at = gone.at GROUP BY l.doc_id""",
+       coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS text,
+       CAST(count(*) AS BIGINT) AS n_lines, CAST(count(gone.pos) AS BIGINT) AS n_removed
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id""",
 }
