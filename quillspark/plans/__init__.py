@@ -1,4 +1,11 @@
-"""Named queries and the SQL that says the same."""
+"""Named queries over whole tables, and the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from quillspark.plans.checking import ORACLE_SQL as _CHECK_SQL
+from quillspark.plans.checking import QUERIES as _CHECK
+from quillspark.plans.correcting import ORACLE_SQL as _CORRECT_SQL
+from quillspark.plans.correcting import QUERIES as _CORRECT
+
+QUERIES: dict = {**_CHECK, **_CORRECT}
+ORACLE_SQL: dict = {**_CHECK_SQL, **_CORRECT_SQL}
