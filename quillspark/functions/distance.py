@@ -148,12 +148,16 @@ def osa_expression(a: Column, b: Column, w: Weights = Weights()) -> Column:
     return F.aggregate(steps, start, row, lambda s: F.element_at(s["one"], -1))
 
 
+def _found_in(a: Column, b: Column, j: int):
+    return lambda i: F.contains(b, F.substring(a, i, F.lit(j)))
+
+
 def ngram_score(n: int, a: Column, b: Column) -> Column:
     """Parts of a of up to n characters that b contains, level by level while a level has two; less for a longer b."""
     total, going = F.lit(0), F.lit(True)
     for j in range(1, n + 1):
         starts = F.when(F.length(a) >= j, F.sequence(F.lit(1), F.length(a) - (j - 1))).otherwise(F.array().cast("array<int>"))
-        level = F.size(F.filter(starts, lambda i, j=j: F.contains(b, F.substring(a, i, F.lit(j)))))
+        level = F.size(F.filter(starts, _found_in(a, b, j)))
         total = total + F.when(going, level).otherwise(0)
         going = going & (level >= 2)
     return total - F.greatest(F.lit(0), F.length(b) - F.length(a) - 2)

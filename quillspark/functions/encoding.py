@@ -35,7 +35,7 @@ def convert(data: str | Column, source: str, target: str = "utf-8", form: str |
 
 def repaired(data: str | Column) -> Column:
     """Bytes as text; each bad UTF-8 sequence becomes ?."""
-    return F.regexp_replace(F.make_valid_utf8(F.decode(data, "utf-8")), "�", "?")
+    return F.regexp_replace(F.make_valid_utf8((F.col(data) if isinstance(data, str) else data).cast("string")), "�", "?")
 
 
 def byte_offset(text: str | Column, offset: str | Column) -> Column:

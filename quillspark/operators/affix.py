@@ -49,8 +49,8 @@ def expand(words: DataFrame, affixes: DataFrame) -> DataFrame:
     made = flags.join(affixes, "flag").withColumn("form", _applied(F.col("word"))).where("form is not null")
     single = made.select("word", "aff", "form", F.when(F.col("kind") == "PFX", F.col("flag")).alias("prefix"), F.when(F.col("kind") == "SFX", F.col("flag")).alias("suffix"))
     pre = made.where("kind = 'PFX' and cross").select("word", "aff", "flag", F.col("append").alias("p_add"), F.length("strip").alias("p_cut"))
-    suf = made.where("kind = 'SFX' and cross").select("word", F.col("flag").alias("s_flag"), "form")
-    both = pre.join(suf, "word").select("word", "aff", F.concat("p_add", F.col("form").substr(F.col("p_cut") + 1, F.length("form"))).alias("form"), F.col("flag").alias("prefix"), F.col("s_flag").alias("suffix"))
+    suf = made.where("kind = 'SFX' and cross").select("word", "aff", F.col("flag").alias("s_flag"), "form")
+    both = pre.join(suf, ["word", "aff"]).select("word", "aff", F.concat("p_add", F.col("form").substr(F.col("p_cut") + 1, F.length("form"))).alias("form"), F.col("flag").alias("prefix"), F.col("s_flag").alias("suffix"))
     none = F.lit(None).cast("string")
     return words.select("word", "aff", F.col("word").alias("form"), none.alias("prefix"), none.alias("suffix")).unionByName(single).unionByName(both).distinct()
 
@@ -183,14 +183,13 @@ def munch_list(words: DataFrame, affixes: DataFrame) -> DataFrame:
                 break
             need -= gain
             chosen[root] = gain
-        out, left = [], set()
+        out = []
         for root, gain in chosen.items():
             used, rest = "", gain - {root}
             for flag in sorted(flags[root], key=lambda f: (-len(flags[root][f]), f)):
                 if flags[root][flag] & rest:
                     used, rest = used + flag, rest - flags[root][flag]
             out.append((root, "".join(sorted(used))))
-        del left
         return pd.DataFrame(out, columns=["word", "aff"])
 
     covered = rows.groupBy("component").applyInPandas(cover, T.StructType([T.StructField("word", T.StringType()), T.StructField("aff", T.StringType())]))

@@ -63,9 +63,10 @@ def camel_correct(words: DataFrame, dictionary: DataFrame, word: str = "word", *
         F.sum((~F.col("is_correct")).cast("int")).alias("_wrong"),
         F.min(F.when(~F.col("is_correct"), F.struct("pos", "part"))).alias("_first"),
     )
-    told = whole.join(judged, "_word", "left").select(
+    by_parts = F.col("is_correct") | F.coalesce(F.col("_all") & (F.col("_n") > 1), F.lit(False))
+    told = whole.join(judged, "_word", "left").withColumn("is_correct", by_parts).select(
         "_word",
-        (F.col("is_correct") | F.coalesce(F.col("_all") & (F.col("_n") > 1), F.lit(False))).alias("is_correct"),
+        "is_correct",
         F.when(F.col("is_correct"), 0).otherwise(F.coalesce("_wrong", F.lit(1))).alias("n_wrong"),
         F.when(~F.col("is_correct"), F.coalesce(F.col("_first.part"), F.col("_word"))).alias("first_wrong"),
     )

@@ -231,8 +231,10 @@ def scored(q: DataFrame, cands: DataFrame, mode: Mode, keyboard: tuple[str, ...]
     near = near.withColumn("typo", F.when(edits, F.lit(0)).otherwise(typed))
     typo = F.when(F.col("kind") == "table", F.least("typo", "word_score")).otherwise(F.col("typo"))
     near = near.withColumn("adj", F.coalesce(fine, adjusted(typo, F.col("sound_score"), mode)))
+    # what lies above the threshold has to beat the worst one under it; else it only fills up a short list
     worst = F.max(F.when(F.col("score") <= F.col("threshold"), F.col("adj"))).over(Window.partitionBy("q"))
-    return near.withColumn("worst", worst).where((F.col("score") <= F.col("threshold")) | (F.col("adj") <= F.col("worst"))).select("q", "cand", "kind", "counted", "score", "adj")
+    good = (F.col("score") <= F.col("threshold")) | (F.col("adj") <= F.col("worst"))
+    return near.withColumn("worst", worst).select("q", "cand", "kind", "counted", "score", F.when(F.coalesce(good, F.lit(False)), F.col("adj")).otherwise(F.col("adj") + FAR).alias("adj"))
 
 
 def ranked(q: DataFrame, scores: DataFrame, mode: Mode) -> DataFrame:
@@ -240,7 +242,8 @@ def ranked(q: DataFrame, scores: DataFrame, mode: Mode) -> DataFrame:
     cased = scores.join(q.select("q", "case"), "q").withColumn("suggestion", fix_case("case", "cand"))
     once = cased.groupBy("q", "suggestion").agg(F.min(F.struct("adj", "cand")).alias("x")).select("q", "suggestion", "x.adj", "x.cand")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("adj", "cand", "suggestion"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= mode.limit).select("q", "rank", "suggestion", "adj")
+    kept = once.withColumn("rank", rank).where((F.col("rank") <= mode.limit) & ((F.col("adj") < FAR) | (F.col("rank") <= mode.least)))
+    return kept.select("q", "rank", "suggestion", F.when(F.col("adj") >= FAR, F.col("adj") - FAR).otherwise(F.col("adj")).alias("adj"))
 
 
 def suggest(words: DataFrame, dictionary: DataFrame, mode: str | Mode = "normal", table: DataFrame | None = None, pairs: DataFrame | None = None, keyboard: tuple[str, ...] | None = STANDARD_ROWS, camel: bool = False, limit: int | None = None, word: str = "word", language: Language = ENGLISH) -> DataFrame:
