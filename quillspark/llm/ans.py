@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import batches, stage
-from quillspark.llm.token_ids import encoder, tokenizer_path, with_end
+from quillspark.llm.token_ids import encoder, tokenizer_path
 
-SEGMENT, BLOCK, LANES, CHECKPOINT = 1 << 21, 1 << 18, 2048, 32
+SEGMENT, BLOCK, LANES, CHECKPOINT = 1 << 21, 1 << 20, 4096, 64
 #: Frequencies add up to 1 << SCALE; states stay in [LOW, LOW << 32).
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -178,7 +178,7 @@ def write_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         for batch in batches(rows):
             ids_of, texts = zip(*batch, strict=True)
-            ids, n = with_end(*encode([t or "" for t in texts]))
+            ids, n = encode([t or "" for t in texts])
             held.append(ids)
             keys += ids_of
             sizes += n.tolist()

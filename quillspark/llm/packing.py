@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import batches, stage
-from quillspark.llm.token_ids import encoder, tokenizer_path, with_end
+from quillspark.llm.token_ids import encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces that one task packs; exchanges after the first packing; free ids that make a bin give its pieces up.
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encode = encoder(path, False).encode
         for batch in batches(rows):
             keys, texts = zip(*batch, strict=True)
-            ids, sizes = with_end(*encode([t or "" for t in texts]))
+            ids, sizes = encode([t or "" for t in texts])
             raw, out, at = memoryview(ids.astype("<u4").tobytes()), [], 0
             for key, size in zip(keys, sizes.tolist(), strict=True):
                 for k, start in enumerate(range(0, size, capacity)):

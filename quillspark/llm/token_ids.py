@@ -1,7 +1,14 @@
-"""Token ids of whole texts by a public tokenizer file, with a bounded cache of word pieces.
+"""Token ids of whole texts by a public tokenizer file, with a bounded cache of chunks.
 
-The tokenizers library splits at white space before it merges, so a text's ids are those of its chunks one
-after the other; each distinct chunk is encoded by the library once while it stays in the worker's cache.
+The tokenizers library cuts texts into words before it merges, and never merges over a white-space character; so a
+text's ids are those of its chunks, one after the other. A chunk is cached under a key; a new key is
+
+- a Latin word (letters only): given to the library's own merge model, many words in one call;
+- such a word with punctuation behind it: put together from both parts, which the library's pattern cuts there, too;
+- anything else: encoded by the whole tokenizer.
+
+Texts in which white space meets white space, or with white space other than spaces and line ends, are encoded
+whole where the vocabulary keeps spaces.
 """
 
 from __future__ import annotations
@@ -11,10 +18,19 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Chunks a worker's cache holds before it is emptied (about 100 bytes each).
-CACHE = 1_000_000
-#: White space next to a space: the byte-level pattern then looks beyond the chunk, so the whole text is encoded.
-_RUN = re.compile(r"\s\s")
+#: Chunks a worker's cache holds before it is emptied (about 150 bytes each).
+CACHE = 700_000
+#: Chunks given to the library in one call.
+CALL = 2000
+#: Key of the end id behind each text: no chunk's key holds a space.
+END = " "
+#: Stands before a chunk that no space precedes.
+BARE = "\x01"
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Punctuation between a Latin letter and the end of a chunk: the libraries' patterns cut it off as one piece. No apostrophes: they may belong to a word's end.
+_TAIL = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[!-&(-/:-@\[-`{-~]+(?= |\Z)")
+#: White space that a spaced vocabulary's text may not hold if its chunks are to be cached (fixed values of Unicode), and meetings of white space.
+_ODD = ["  ", "\n\n", " \n", "\n ", BARE, *map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,37 +39,55 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_SPACE = _LETTERS[32]
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below 256: then lower case needs no context and nothing is decomposed."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class ChunkEncoder:
-    """encode(texts) -> (ids of all texts one after the other, number of ids of each)."""
+    """encode(texts) -> (ids of all texts one after the other, each with the end id behind it; number of ids of each)."""
 
-    def __init__(self, path: str, spaced: bool):
-        """spaced: a chunk keeps the space before it (byte-level vocabularies)."""
+    def __init__(self, path: str, spaced: bool, end: int = 0):
+        """spaced: the vocabulary keeps the space before a word; else words end in a mark and are in lower case."""
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = spaced
+        self.spaced, self.end = spaced, end
         #: The special token whose id is the largest; between chunks it cuts one long call into their ids.
         self.mark_id, self.mark = max((k, v.content) for k, v in self.tokenizer.get_added_tokens_decoder().items())
+        #: The merge model alone, for words that are already in the vocabulary's letters.
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = CharDelimiterSplit(" ")
+        edge = [k for t, k in self.tokenizer.get_vocab().items() if (t.startswith(_SPACE) if spaced else t.endswith("</w>"))]
+        self.edge = np.zeros(self.mark_id + 1, bool)
+        self.edge[edge] = True
         self.reset()
 
     def reset(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.at = np.zeros(1 << 18, np.int64)
+        self.size = np.zeros(1 << 18, np.int64)
         self.used = 0
+        self.add([END], np.array([self.end], np.uint32), np.ones(1, np.int64))
 
-    def learn(self, chunks: list[str]) -> None:
-        n, new = len(self.slot), len(chunks)
-        if any("<|" in c for c in chunks):
-            own = [c.ids for c in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            sizes, ids = np.fromiter(map(len, own), np.int64, new), np.fromiter((x for i in own for x in i), np.uint32)
-        else:
-            (code,) = self.tokenizer.encode_batch_fast([self.mark.join([*chunks, ""])], add_special_tokens=False)
-            ids = np.array(code.ids, np.uint32)
-            marks = np.flatnonzero(ids == self.mark_id)
-            sizes, ids = np.diff(marks, prepend=-1) - 1, np.delete(ids, marks)
-        total = len(ids)
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, new, total = len(self.slot), len(keys), len(ids)
         while n + new > len(self.at):
             self.at, self.size = np.concatenate([self.at, self.at * 0]), np.concatenate([self.size, self.size * 0])
         while self.used + total > len(self.flat):
@@ -62,32 +96,115 @@ class ChunkEncoder:
         self.at[n : n + new], self.size[n : n + new] = self.used + ends - sizes, sizes
         self.flat[self.used : self.used + total] = ids
         self.used += total
-        self.slot.update(zip(chunks, range(n, n + new), strict=True))
+        self.slot.update(zip(keys, range(n, n + new), strict=True))
 
-    def chunks(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.split()
-        if _RUN.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest]
+    def text_of(self, key: str) -> str:
+        if not self.spaced or key == "\n":
+            return key
+        return key[1:] if key[:1] == BARE else f" {key}"
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.chunks(t) for t in texts]
-        if len(self.slot) > CACHE:
-            self.reset()
+    def learn(self, keys: list[str]) -> None:
+        """Puts all keys into the cache."""
+        words, parts, other = {}, [], {}
         slot = self.slot
-        missing = list({c for p in parts for c in p if c not in slot})
-        for i in range(0, len(missing), 1000):
-            self.learn(missing[i : i + 1000])
-        index = np.fromiter((slot[c] for p in parts for c in p), np.int64)
+        for key in keys:
+            m = _PLAIN.fullmatch(key)
+            if not m:
+                other[key] = None
+                continue
+            word, tail = m.groups()
+            if not self.spaced:
+                word = word.lower()
+            if word not in slot:
+                words[word] = None
+            if tail or word != key:
+                if tail and (tail := BARE + tail if self.spaced else tail) not in slot:
+                    other[tail] = None
+                parts.append((key, word, tail))
+        own = list(words)
+        for i in range(0, len(own), CALL):
+            self._merge(own[i : i + CALL])
+        own = list(other)
+        for i in range(0, len(own), CALL):
+            self._encode(own[i : i + CALL])
+        if parts:
+            nothing = BARE if self.spaced else ""
+            if nothing not in slot:
+                self.add([nothing], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+            none = slot[nothing]
+            index = np.array([(slot[w], slot[t] if t else none) for _, w, t in parts])
+            ids, _ = self.gather(index.ravel())
+            self.add([k for k, _, _ in parts], ids, self.size[index].sum(1))
+
+    def _merge(self, words: list[str]) -> None:
+        if self.spaced:
+            text = " ".join(_SPACE + (w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)) for w in words)
+        else:
+            text = " ".join(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in words)
+        (code,) = self.merger.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(code.ids, np.uint32)
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(words):
+            raise AssertionError("a word's edge is missing")
+        sizes = np.diff(np.append(edges, len(ids))) if self.spaced else np.diff(edges, prepend=-1)
+        self.add(words, ids, sizes)
+
+    def _encode(self, keys: list[str]) -> None:
+        texts = list(map(self.text_of, keys))
+        if any("<|" in t for t in texts):
+            own = [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.add(keys, np.fromiter((x for i in own for x in i), np.uint32), np.fromiter(map(len, own), np.int64, len(own)))
+            return
+        (code,) = self.tokenizer.encode_batch_fast([self.mark.join([*texts, ""])], add_special_tokens=False)
+        ids = np.array(code.ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        self.add(keys, np.delete(ids, marks), np.diff(marks, prepend=-1) - 1)
+
+    def keys(self, text: str) -> list[str] | None:
+        """Keys of a text's chunks; None: it has to be encoded whole."""
+        if not self.spaced:
+            if not _is_latin(text):
+                return text.split()
+            return _TAIL.sub(r" \g<0>", " ".join(text.lower().split())).split(" ")
+        if any(x in text for x in _ODD):
+            return None
+        if "\n" in text:
+            text = text.replace("\n", f" \n {BARE}")
+        return _TAIL.sub(f" {BARE}\\g<0>", BARE + text).split(" ")
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slots one after the other, and where each slot's ids end."""
         sizes = self.size[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[index] - ends + sizes, sizes) + np.arange(total)]
-        bounds = np.cumsum([len(p) for p in parts]) if parts else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], ends])[bounds]
-        return ids, np.diff(np.concatenate([[0], upto]))
+        return self.flat[np.repeat(self.at[index] - ends + sizes, sizes) + np.arange(total)], ends
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.slot) > CACHE:
+            self.reset()
+        every: list[str] = []
+        counts, whole = [], {}
+        for k, t in enumerate(texts):
+            own = self.keys(t)
+            if own is None:
+                whole[k] = t
+                own = []
+            every += own
+            every.append(END)
+            counts.append(len(own) + 1)
+        found = list(map(self.slot.get, every))
+        if None in found:
+            missing = [i for i, s in enumerate(found) if s is None]
+            self.learn(list(dict.fromkeys(every[i] for i in missing)))
+            for i in missing:
+                found[i] = self.slot[every[i]]
+        ids, ends = self.gather(np.array(found, np.int64))
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        if not whole:
+            return ids, np.diff(upto)
+        codes = dict(zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True))
+        pieces = [np.array([*codes[k].ids, self.end], np.uint32) if k in codes else ids[upto[k] : upto[k + 1]] for k in range(len(texts))]
+        return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +212,3 @@ def encoder(path: str, spaced: bool) -> ChunkEncoder:
     """One encoder for each worker process and file; its cache serves all of the worker's tasks."""
     return ChunkEncoder(path, spaced)
 
-
-def with_end(ids: np.ndarray, sizes: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Puts the end id behind each text's ids."""
-    return np.insert(ids, np.cumsum(sizes), np.uint32(end)), sizes + 1
