@@ -49,6 +49,8 @@ def neighbours(rows: tuple[str, ...] = STANDARD_ROWS) -> frozenset[tuple[str, st
 
 def osa(a: str, b: str, w: Weights = Weights()) -> int:
     """Weighted distance with swaps of adjacent characters; equal characters are always matched."""
+    while a and b and a[-1] == b[-1]:  # equal ends are always matched
+        a, b = a[:-1], b[:-1]
     two, one = None, [w.delete * j for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         row = [w.insert * i]

@@ -211,6 +211,7 @@ def scored(q: DataFrame, cands: DataFrame, mode: Mode, keyboard: tuple[str, ...]
     """q, cand, kind, counted, score, adj: candidates that stay under their word's thresholds."""
     info = cands.join(q.select("q", "stripped", "soundslike", F.col("clean").alias("q_clean")), "q").withColumns({"c_stripped": stripped("cand"), "c_sound": soundslike("cand", language.soundslike), "c_clean": clean("cand")})
     edits = F.col("kind").isin("split", "camel", "camel_off")
+    info = _promising(info, edits, mode)
     word = F.when(edits, F.col("given")).otherwise(F.least(F.coalesce("given", F.lit(FAR)), osa_distance("q_clean", "c_clean")))
     sound = F.when(edits, F.col("given")).otherwise(osa_distance("soundslike", "c_sound"))
     told = info.withColumn("word_score", word).withColumn("sound_score", sound)
@@ -237,6 +238,21 @@ def scored(q: DataFrame, cands: DataFrame, mode: Mode, keyboard: tuple[str, ...]
     return near.withColumn("worst", worst).select("q", "cand", "kind", "counted", "score", F.when(F.coalesce(good, F.lit(False)), F.col("adj")).otherwise(F.col("adj") + FAR).alias("adj"))
 
 
+def _promising(info: DataFrame, edits: Column, mode: Mode) -> DataFrame:
+    """info without candidates that cannot come under their word's threshold.
+
+    With n plain edits between two strings their weighted distance lies between 45 n (swaps count two) and 100 n. The
+    third least upper bound of a word's scores bounds its threshold; what is above it at least goes unseen."""
+    w, s = F.levenshtein("q_clean", "c_clean"), F.levenshtein("soundslike", "c_sound")
+    given = F.coalesce("given", F.lit(FAR))
+    bounds = info.withColumns({"_low": F.when(edits, F.col("given")).otherwise(weighted(F.least(given, 45 * w), 45 * s, mode)), "_high": F.when(edits, F.col("given")).otherwise(weighted(F.least(given, 100 * w), 100 * s, mode))})
+    keyed = bounds.where("counted").groupBy("q", "c_clean").agg(F.min("_high").alias("_high"))
+    order = Window.partitionBy("q").orderBy("_high")
+    third = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= mode.skip + 1).groupBy("q").agg(F.max("_high").alias("_third"))
+    most = F.greatest(F.lit(100), F.coalesce("_third", F.lit(0)) + mode.span) + mode.span
+    return bounds.join(third, "q", "left").where(F.col("_low") <= most).drop("_low", "_high", "_third")
+
+
 def ranked(q: DataFrame, scores: DataFrame, mode: Mode) -> DataFrame:
     """q, rank, suggestion, adj: in the typed word's case, each string once, the best `limit`."""
     cased = scores.join(q.select("q", "case"), "q").withColumn("suggestion", fix_case("case", "cand"))
