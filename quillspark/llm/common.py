@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that Spark hands to Python at once: long texts make Spark's default of 10,000 too many.
+ARROW_ROWS = "1000"
+
+
+def bound_arrow(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to ARROW_ROWS unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_arrow(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -29,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
+    bound_arrow(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -39,7 +52,7 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def batches(rows: Iterator, size: int = 256, weight: int = 4 << 20, text: int = 1) -> Iterator[list[tuple]]:
+def batches(rows: Iterator, size: int = 128, weight: int = 1 << 20, text: int = 1) -> Iterator[list[tuple]]:
     """Cuts Arrow batches into lists of row tuples, of at most size rows and about weight characters."""
     for batch in rows:
         out, n = [], 0
