@@ -4,9 +4,10 @@ A text's set holds the hashes of its distinct five-word shingles (words are runs
 lower case; a text of fewer words is one shingle). PERMUTATIONS universal hash functions give its signature;
 BANDS bands of ROWS minima each make buckets. Texts with equal words are one node from the start.
 
-Links inside a bucket: all members against the least one; then, where a bucket still holds more than one
-component, members of different components against each other, in tiles of bounded size, by their signatures.
-Pairs whose signatures agree enough are verified on their full sets. No bucket is dropped or capped.
+Links inside a bucket: first all members against the least one, by signature, then on full sets. Where a bucket
+still holds more than one component, tiles of bounded size find which components alike signatures connect: that
+makes clusters, each text in one at most. In each cluster, tiles of bounded size compare full sets of all texts of
+unlike components. A tile gives a spanning forest, not all its pairs. No bucket is dropped or capped.
 
 Null and blank texts have an empty set, are linked with nothing and stay. A row without doc_id is linked with
 nothing and stays (component null). Rows that repeat a doc_id are one document if their texts are equal;
@@ -31,8 +32,8 @@ BANDS, ROWS = 26, 5
 PERMUTATIONS = BANDS * ROWS
 #: A pair at 0.85 has fewer equal minima than this with probability below 1e-6.
 SIGNATURE_LEAST = 0.68
-#: Rows of a tile on each side; identifiers up to which they are broadcast (16 bytes each).
-TILE, BROADCAST_ROWS = 256, 100_000
+#: Rows and shingles of a tile on each side; identifiers up to which they are broadcast (16 bytes each).
+TILE, TILE_SHINGLES, BROADCAST_ROWS = 256, 1 << 19, 100_000
 
 SIGNATURES = "doc_id long, n_shingles long, text_key binary, signature binary"
 
@@ -109,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (array of longs) of each row of docs (doc_id, text)."""
+    """doc_id, shingles (sorted 64-bit hashes, as bytes) of each row of docs (doc_id, text)."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -117,10 +118,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for batch in batches(rows):
             ids, texts = zip(*batch, strict=True)
             x, counts, _ = shingles(texts)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.view(np.int64)))], ["doc_id", "shingles"])
+            raw, ends = x.tobytes(), 8 * np.cumsum(counts)
+            sets = [raw[a:b] for a, b in zip((ends - 8 * counts).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,70 +145,159 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union, on full sets."""
-    needed = stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
-    sets = stage(shingle_sets(texts), "sets")
+
+    def run(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches(rows, 256, 1 << 22, 2):
+            out = []
+            for a, b, left, right in batch:
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    same = F.size(F.array_intersect("left", "right")).cast("long")
-    counted = both.select("a", "b", same.alias("same"), (F.size("left") + F.size("right")).alias("sizes"))
-    return counted.where(100 * F.col("same") >= percent * (F.col("sizes") - F.col("same"))).select("a", "b").distinct()
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of unlike components that share a bucket (bucket, node, size), by signature; each from its first common band."""
-    of = F.coalesce("component", "node").alias("component")
-    told = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", of)
-    mixed = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = told.join(mixed, "bucket").withColumn("tiles", tiles).withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
-    # tile (i, j), i <= j, holds the members of i and of j: a member is in as many tiles as its bucket has rows of them
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    full = spread.join(nodes.select("node", "signature"), "node").select("bucket", "i", "j", "own", "node", "component", "signature")
-    sorted_tiles = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-
-    def pairs_of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = rows[0][1:3]
-        if len(rows) < 2 or len({r[5] for r in rows}) < 2:
-            return
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, PERMUTATIONS)
-        node, part, own = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
-        order = np.arange(len(rows))
-        for k in range(len(rows) - 1):
-            rest = order[k + 1 :]
-            rest = rest[(part[rest] != part[k]) & ((own[rest] != own[k]) if i != j else True)]
-            if not len(rest):
-                continue
-            same = sig[rest] == sig[k]
-            good = same.sum(1) >= SIGNATURE_LEAST * PERMUTATIONS
-            if good.any():
-                yield from ((int(node[k]), int(x)) for x in node[rest[good]] if x != node[k])
+def _grouped(rows: Iterator, keys: int, text: int) -> Iterator[list[tuple]]:
+    """Lists of rows in a row that share their first columns."""
+    held: list[tuple] = []
+    for batch in batches(rows, 1024, 1 << 22, text):
+        for row in batch:
+            if held and row[:keys] != held[0][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _tiled(groups: DataFrame, key: str) -> DataFrame:
+    """Rows of groups (key, node, tiles, ...) in each tile (i, j), i <= j, of their group that their own number is part of.
+
+    A row is in as many tiles as its group has numbers; each pair of rows meets in one tile at least."""
+    dealt = groups.withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "tiles")
+
+
+def _edges(tiles: DataFrame, key: str, columns: list[str], find) -> DataFrame:
+    """What find (rows of a tile: pairs) says of all tiles, as rows a, b."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list[tuple] = []
-        for batch in batches(rows, 4096, 1 << 22, 6):
-            out: list[tuple[int, int]] = []
-            for row in batch:
-                if held and row[:3] != held[0][:3]:
-                    out += pairs_of(held)
-                    held = []
-                held.append(row)
-            if out:
+        out: list[tuple[int, int]] = []
+        for tile in _grouped(rows, 3, len(columns) + 2):
+            out += find(tile)
+            if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-        if held and (out := list(pairs_of(held))):
+                out = []
+        if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
+    sorted_tiles = tiles.select(key, "i", "j", *columns).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
     return sorted_tiles.mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(part: np.ndarray, k: int, others: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links row k with others, one for each part they are in, and makes these parts one."""
+    for x in others.tolist():
+        if part[x] != part[k]:
+            part[part == part[x]] = part[k]
+            yield int(node[k]), int(node[x])
+
+
+def _forest(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs (of _, _, _, node, component, signature) that agree in SIGNATURE_LEAST of their minima: enough of them to hold together all that such pairs connect."""
+    part = np.unique([r[4] for r in rows], return_inverse=True)[1]
+    if part.max() == 0:
+        return
+    node = np.array([r[3] for r in rows])
+    signature = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, PERMUTATIONS)
+    for k in range(len(rows) - 1):
+        rest = k + 1 + np.flatnonzero(part[k + 1 :] != part[k])
+        if len(rest):
+            same = (signature[rest] == signature[k]).sum(1)
+            yield from _joined(part, k, rest[same >= SIGNATURE_LEAST * PERMUTATIONS], node)
+
+
+def _exact(percent: int):
+    """Like _forest on (_, _, _, node, component, shingles), by the sets themselves."""
+
+    def find(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        part = np.unique([r[4] for r in rows], return_inverse=True)[1]
+        if part.max() == 0:
+            return
+        node = np.array([r[3] for r in rows])
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        sizes = np.array(list(map(len, sets)))
+        starts = np.cumsum(sizes) - sizes
+        dense = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(int(dense.max()) + 1, np.int32)
+        for k in range(len(rows) - 1):
+            small, large = np.minimum(sizes, sizes[k]), np.maximum(sizes, sizes[k])
+            open_ = (part != part[k]) & (100 * small >= percent * large)
+            open_[: k + 1] = False
+            rest = np.flatnonzero(open_)
+            if not len(rest):
+                continue
+            own = dense[starts[k] : starts[k] + sizes[k]]
+            mark[own] = 1
+            if 4 * len(rest) < len(rows):
+                both = np.array([int(mark[dense[starts[x] : starts[x] + sizes[x]]].sum()) for x in rest.tolist()])
+            else:
+                both = np.add.reduceat(mark[dense], starts)[rest]
+            mark[own] = 0
+            yield from _joined(part, k, rest[100 * both >= percent * (sizes[rest] + sizes[k] - both)], node)
+
+    return find
+
+
+def _clusters(members: DataFrame, labels: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cluster, node, component: of clusters, by alike signatures in a bucket, that hold more than one component."""
+    of = F.coalesce("component", "node").alias("component")
+    told = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", of)
+    mixed = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    dealt = told.join(mixed, "bucket").join(nodes.select("node", "signature"), "node").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    forest = stage(_edges(_tiled(dealt, "bucket"), "bucket", ["node", "component", "signature"], _forest), "forest")
+    if forest.isEmpty():
+        return forest.select(F.col("a").alias("cluster"), F.col("a").alias("node"), F.col("b").alias("component"))
+    wide = components(links.unionByName(forest))
+    both = wide.select(F.col("component").alias("cluster"), "node").unionByName(wide.select(F.col("component").alias("cluster"), F.col("component").alias("node")).distinct())
+    of_forest = forest.select(F.col("a").alias("node")).unionByName(forest.select(F.col("b").alias("node"))).distinct()
+    open_ = both.join(of_forest, "node").select("cluster").distinct()
+    return both.join(open_, "cluster").join(labels, "node", "left").select("cluster", "node", of)
+
+
+def _exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links between unlike components of a cluster: in tiles of at most about TILE_SHINGLES shingles and TILE rows a side."""
+    sized = clusters.join(nodes.select("node", "n_shingles"), "node")
+    tiles = F.greatest(F.ceil(F.sum("n_shingles") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles")
+    dealt = sized.join(sized.groupBy("cluster").agg(tiles), "cluster").select("cluster", "node", "component", "tiles")
+    sets = _sets_of(clusters.select(F.col("node").alias("doc_id")).distinct(), docs)
+    full = _tiled(dealt, "cluster").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    return _edges(full, "cluster", ["node", "component", "shingles"], _exact(percent))
+
+
+def _sets_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, shingles of the documents needed (doc_id)."""
+    needed = stage(needed, "needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    return stage(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")), "sets")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     signed = stage(signatures(docs), "signatures")
     able = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = stage(able.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
+    groups = stage(able.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "nodes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     hashed = groups.select("node", band.alias("band", "minima")).select("node", F.xxhash64("band", "minima").alias("bucket"))
     buckets = hashed.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
@@ -214,9 +305,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = stage(_alike(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), groups), "pairs")
     links = stage(_verified(first, docs, percent), "links")
     labels = components(links)
-    more = stage(_across(members, labels, groups), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(stage(_verified(more, docs, percent), "links"))
+    clusters = stage(_clusters(members, labels, links, groups), "clusters")
+    if not clusters.isEmpty():
+        links = links.unionByName(stage(_exact_links(clusters, docs, groups, percent), "links"))
         labels = components(links)
     classes = groups.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("component", "node").alias("component"))
     linked = signed.join(classes, "text_key", "left")
