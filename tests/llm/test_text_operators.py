@@ -144,3 +144,14 @@ def test_scores_with_few_labels(spark, docs, labelled):
 def test_sql_twins(spark, duck, name):
     ours, theirs = same_rows(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name]))
     assert ours == theirs
+
+
+def test_wrappers_joined_by_host(spark, monkeypatch):
+    """Beyond the byte bound patterns and wrappers travel by a salted join: the same texts."""
+    rows = [(i, f"http://h{i % 3}.x/{i}", f"<body><div><span>Fixed words here</span></div><div><p>Page {i} text {i * 3}</p></div></body>") for i in range(60)] + [(None, None, "<p>z")]
+    sent = {r.page_id: r.text for r in wrappers.main_text(pages_frame(spark, rows)).collect()}
+    monkeypatch.setattr(wrappers, "SENT_BYTES", -1)
+    joined = {r.page_id: r.text for r in wrappers.main_text(pages_frame(spark, rows)).collect()}
+    assert sent == joined
+    assert sent[7] == "Page 7 text 21"
+    assert wrappers.main_text(pages_frame(spark, [])).count() == 0
