@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -112,8 +113,18 @@ def accepts(word: str | Column, entry: str | Column, language: Language = ENGLIS
     return out
 
 
+#: Soundslikes that were added: name to a function of a word column.
+SOUNDSLIKES: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_soundslike(name: str, key: Callable[[Column], Column]) -> None:
+    SOUNDSLIKES[name] = key
+
+
 def soundslike(word: str | Column, kind: str = "simple") -> Column:
     """none: the clean key; stripped: lower without accents; simple: consonants, a leading vowel as *."""
+    if kind in SOUNDSLIKES:
+        return SOUNDSLIKES[kind](_c(word))
     if kind == "none":
         return clean(word)
     if kind == "stripped":

@@ -237,6 +237,40 @@ def test_speller(spark):
     assert s.suggest(["wrold"], limit=1).first()["suggestion"] == "world"
 
 
+def test_pipe(spark, tmp_path):
+    from quillspark.protocol import Pipe
+
+    pipe = Pipe(Speller.build(spark, WORDS, sug_mode="ultra"), str(tmp_path / "own"))
+    assert pipe.line("the wrold")[0] == "*" and pipe.line("the wrold")[1].startswith("& wrold ")
+    assert pipe.line("!") == [] and len(pipe.line("^the wrold")) == 2 and pipe.line("%") == []
+    assert pipe.line("*wrold") == [] and pipe.line("wrold") == ["*", ""]
+    assert pipe.line("$$pp") == ["1: wrold"] and pipe.line("$$l") == ["en"]
+    pipe.line("#")
+    assert dictionaries.read_personal(spark, str(tmp_path / "own")).first()["word"] == "wrold"
+    pipe.line("$$cs ignore,3")
+    assert pipe.line("$$cr ignore") == ["3"] and pipe.line("xqz") == ["*", ""]
+    pipe.line("$$ra teh,the")
+    assert pipe.speller.pairs.count() == 1
+
+
+def test_listings(spark, tmp_path):
+    from quillspark.sources import listing
+
+    assert {r.key: r.value for r in listing.options(spark).collect()}["sug-split-char"] == " :-"
+    assert listing.modes(spark).count() == len(filters.MODES) and listing.filters(spark).count() == len(filters.REGISTRY)
+    assert listing.suggestion_modes(spark).count() == 5
+    (tmp_path / "en_US-60.multi").write_text("add x\n")
+    (tmp_path / "notes.txt").write_text("x")
+    assert [r.code for r in listing.dicts(spark, str(tmp_path)).collect()] == ["en_US"]
+
+
+def test_own_soundslike(spark):
+    from quillspark.functions import language
+
+    language.register_soundslike("first", lambda w: F.substring(w, 1, 1))
+    assert frame(spark, ["abc"]).select(language.soundslike("word", "first")).first()[0] == "a"
+
+
 def test_stream(spark, words, tmp_path):
     from quillspark import streaming
 
