@@ -14,23 +14,28 @@ whole where the vocabulary keeps spaces.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
-#: Chunks a worker's cache holds before it is emptied (about 150 bytes each).
-CACHE = 700_000
+#: Chunks a worker's cache holds before it is emptied (about 150 bytes each): in lower case without spaces, or as they stand.
+CACHE = {False: 700_000, True: 1_400_000}
 #: Chunks given to the library in one call.
 CALL = 2000
+#: The most common chunks have a small dictionary of their own, which stays in the processor's cache; chunks counted for it.
+HOT, COUNTED = 1 << 15, 1_500_000
 #: Key of the end id behind each text: no chunk's key holds a space.
 END = " "
 #: Stands before a chunk that no space precedes.
 BARE = "\x01"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Punctuation between a Latin letter and the end of a chunk: the libraries' patterns cut it off as one piece. No apostrophes: they may belong to a word's end.
-_TAIL = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[!-&(-/:-@\[-`{-~]+(?= |\Z)")
+_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-&(-/:-@\[-`{-~])[!-&(-/:-@\[-`{-~]*(?= |\Z)")
 #: White space that a spaced vocabulary's text may not hold if its chunks are to be cached (fixed values of Unicode), and meetings of white space.
-_ODD = ["  ", "\n\n", " \n", "\n ", BARE, *map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+_ODD_ASCII = ["  ", "\n\n", " \n", "\n ", BARE, *map(chr, [9, 11, 12, 13, 28, 29, 30, 31])]
+_ODD = [*_ODD_ASCII, *map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +81,8 @@ class ChunkEncoder:
         edge = [k for t, k in self.tokenizer.get_vocab().items() if (t.startswith(_SPACE) if spaced else t.endswith("</w>"))]
         self.edge = np.zeros(self.mark_id + 1, bool)
         self.edge[edge] = True
+        self.hot: dict[str, int] = {}
+        self.seen: Counter | None = Counter()
         self.reset()
 
     def reset(self) -> None:
@@ -85,6 +92,11 @@ class ChunkEncoder:
         self.size = np.zeros(1 << 18, np.int64)
         self.used = 0
         self.add([END], np.array([self.end], np.uint32), np.ones(1, np.int64))
+        self._warm(list(self.hot))
+
+    def _warm(self, common: list[str]) -> None:
+        self.learn([k for k in common if k not in self.slot])
+        self.hot = {k: self.slot[k] for k in common}
 
     def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, new, total = len(self.slot), len(keys), len(ids)
@@ -108,6 +120,9 @@ class ChunkEncoder:
         words, parts, other = {}, [], {}
         slot = self.slot
         for key in keys:
+            if key.isalpha() and key.isascii() and (self.spaced or key.islower()):
+                words[key] = None
+                continue
             m = _PLAIN.fullmatch(key)
             if not m:
                 other[key] = None
@@ -166,8 +181,9 @@ class ChunkEncoder:
             if not _is_latin(text):
                 return text.split()
             return _TAIL.sub(r" \g<0>", " ".join(text.lower().split())).split(" ")
-        if any(x in text for x in _ODD):
-            return None
+        for x in _ODD_ASCII if text.isascii() else _ODD:
+            if x in text:
+                return None
         if "\n" in text:
             text = text.replace("\n", f" \n {BARE}")
         return _TAIL.sub(f" {BARE}\\g<0>", BARE + text).split(" ")
@@ -180,7 +196,7 @@ class ChunkEncoder:
         return self.flat[np.repeat(self.at[index] - ends + sizes, sizes) + np.arange(total)], ends
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slot) > CACHE:
+        if len(self.slot) > CACHE[self.spaced]:
             self.reset()
         every: list[str] = []
         counts, whole = [], {}
@@ -192,13 +208,23 @@ class ChunkEncoder:
             every += own
             every.append(END)
             counts.append(len(own) + 1)
-        found = list(map(self.slot.get, every))
-        if None in found:
-            missing = [i for i, s in enumerate(found) if s is None]
-            self.learn(list(dict.fromkeys(every[i] for i in missing)))
-            for i in missing:
-                found[i] = self.slot[every[i]]
-        ids, ends = self.gather(np.array(found, np.int64))
+        if self.seen is not None:
+            self.seen.update(every)
+        found = np.array(list(map(self.hot.get, every, repeat(-1))), np.int64)
+        rare = np.flatnonzero(found < 0)
+        if len(rare):
+            keys = [every[i] for i in rare.tolist()]
+            slots = np.array(list(map(self.slot.get, keys, repeat(-1))), np.int64)
+            missing = np.flatnonzero(slots < 0)
+            if len(missing):
+                new = [keys[i] for i in missing.tolist()]
+                self.learn(list(dict.fromkeys(new)))
+                slots[missing] = list(map(self.slot.__getitem__, new))
+            found[rare] = slots
+        if self.seen is not None and self.seen.total() >= COUNTED:
+            common, self.seen = [k for k, _ in self.seen.most_common(HOT)], None
+            self._warm(common)
+        ids, ends = self.gather(found)
         upto = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
         if not whole:
             return ids, np.diff(upto)
