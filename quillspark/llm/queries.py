@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import ans, compression_quality, line_dedup, media, mixing, near_dups, packing, repetition, token_counts, wrappers
 from quillspark.llm.common import load
@@ -32,7 +33,8 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(load(spark, sf_dir, "documents"))
+    rules = repetition.quality_rules(load(spark, sf_dir, "documents"))
+    return rules.withColumn("long_repeat", F.col("longest_repeat") > repetition.MAX_REPEAT).drop("longest_repeat")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +133,30 @@ SELECT l.doc_id,
        coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS text,
        CAST(count(*) AS BIGINT) AS n_lines, CAST(count(gone.pos) AS BIGINT) AS n_removed
 FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id""",
+    "op6_suffix_repetition": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+k AS (
+  SELECT doc_id, i, CASE WHEN i + 7 <= len(w) THEN hash(w[i:i + 7]) END AS h8, CASE WHEN i + 9 <= len(w) THEN hash(w[i:i + 9]) END AS h10,
+         CASE WHEN i + 200 <= len(w) THEN hash(w[i:i + 200]) END AS h201
+  FROM p),
+c AS (
+  SELECT doc_id, i, h8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h8) > 1 AS r8, h10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h10) > 1 AS r10,
+         h201 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h201) > 1 AS r201
+  FROM k),
+v AS (
+  SELECT doc_id, r201, bool_or(r8) OVER (o ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS in8, bool_or(r10) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS in10
+  FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, count(*) FILTER (WHERE in8) AS n8, count(*) FILTER (WHERE in10) AS n10, bool_or(r201) AS long FROM v GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n8, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n10, 0) AS BIGINT) AS covered_words, coalesce(long, false) AS long_repeat
+  FROM t LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * covered_words <= 20 * n_words AND NOT long_repeat AS kept FROM b""",
 }

@@ -155,7 +155,7 @@ def describe(texts: list[str | None]) -> list[tuple]:
         chars = len(text.translate(_DROP))
         lines = [x for x in text.split("\n") if x.strip(_SPACE)]
         failed = n < MIN_WORDS or 100 * window > round(100 * MAX_WINDOW_SHARE) * n
-        kept = not failed and repeats <= MAX_COVERED * n and longest <= MAX_REPEAT
+        kept = not failed and 100 * repeats <= round(100 * MAX_COVERED) * n and longest <= MAX_REPEAT
         out.append((n, chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), window, failed, repeats, longest, kept))
     return out
 

@@ -140,7 +140,7 @@ def test_scores_with_few_labels(spark, docs, labelled):
     assert [r.held_out for r in out if r.doc_id is None] == [False]
 
 
-@pytest.mark.parametrize("name", ["op3_pareto_mix", "op4_line_windows"])
+@pytest.mark.parametrize("name", ["op3_pareto_mix", "op4_line_windows", "op6_suffix_repetition"])
 def test_sql_twins(spark, duck, name):
     ours, theirs = same_rows(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name]))
     assert ours == theirs
