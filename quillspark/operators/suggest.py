@@ -51,6 +51,8 @@ MODES = {
     )
 }
 
+#: Rows of a replacement table at most.
+TABLE_ROWS = 10_000
 #: Scores of edits that are no letter edits (fixed values).
 SPLIT, CAMEL, CAMEL_OFF, REPLACED = 102, 101, 89, 150
 FINE_SPLIT, FINE_CAMEL, FINE_CAMEL_OFF = 112, 111, 59
@@ -152,8 +154,10 @@ def camel_edits(q: DataFrame, dictionary: DataFrame, language: Language = ENGLIS
 
 def table_replacements(q: DataFrame, dictionary: DataFrame, table: DataFrame) -> DataFrame:
     """q, cand: entries that one replacement of a table row (from, to) at one place of the clean word makes."""
+    if table.limit(TABLE_ROWS + 1).count() > TABLE_ROWS:
+        raise ValueError(f"a replacement table holds at most {TABLE_ROWS} rows: it is sent to all tasks")
     rows = q.select("q", "clean").where("clean <> ''")
-    hits = rows.join(F.broadcast(table.limit(10_000)), F.contains(F.col("clean"), F.col("from")))
+    hits = rows.join(F.broadcast(table), F.contains(F.col("clean"), F.col("from")))
     starts = F.filter(F.sequence(F.lit(1), F.length("clean")), lambda i: F.substring("clean", i, F.length("from")) == F.col("from"))
     made = hits.select("q", "clean", "from", "to", F.explode(starts).alias("i"))
     made = made.select("q", F.concat(F.substring("clean", F.lit(1), F.col("i") - 1), F.col("to"), F.col("clean").substr(F.col("i") + F.length("from"), F.length("clean"))).alias("_k"))

@@ -162,7 +162,7 @@ def read_keyboard(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     """(a, b) of neighbouring keys, and the groups of characters on one key (``key`` lines; a driver-side file)."""
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("value")).where("value <> ''")
     pairs = lines.where(F.length("value") == 2).select(F.substring("value", 1, 1).alias("a"), F.substring("value", 2, 1).alias("b"))
-    keys = [r[0].split()[1] for r in lines.where("value like 'key %'").limit(1000).collect()]
+    keys = [r[0].split()[1] for r in lines.where("value like 'key %'").collect()]  # as many as a keyboard has keys
     return pairs, keys
 
 
