@@ -319,7 +319,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs whose document stands for its component; of rows that repeat a doc_id, one."""
     told = stage(near_duplicates(docs, percent), "near-duplicates")
-    kept = docs.join(told.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    if not told.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = told.where("not kept and doc_id is not null").select("doc_id").distinct()
+    repeated = not told.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:  # an id stays if one of its rows does
+        gone = gone.join(told.where("kept"), "doc_id", "left_anti")
+    # few ids go: written out, their size tells Catalyst whether the texts have to move at all
+    kept = docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    if repeated:
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
