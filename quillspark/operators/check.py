@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.language import ENGLISH, Language, accepts, clean, fix_case, split_camel, title
+from quillspark.functions.language import ENGLISH, Language, accepts, clean, split_camel, title
 from quillspark.operators.tokenize import explode_words, tokens
 
 
@@ -103,8 +103,3 @@ def _parts_accepted(rows, dictionary, part, language, ignore_case, ignore) -> Da
     fits = accepts(part, "_entry", language, ignore_case) | (titled & accepts(title(part), "_entry", language, ignore_case))
     return rows.join(entries, (clean(part, language.store_as) == F.col("_clean")) & fits, "left_semi")
 
-
-def recased(words: DataFrame, typed: str, suggestion: str) -> DataFrame:
-    from quillspark.functions.language import case_pattern
-
-    return words.withColumn(suggestion, fix_case(case_pattern(typed), suggestion))

@@ -149,7 +149,7 @@ TEX_COMMANDS = dict(
         "documentstyle op,cite p,nocite p,psfig p,selectlanguage p,includegraphics op,bibitem op,geometry p"
     ).split(",")
 )
-_TEX = re.compile(r"(?P<comment>(?<!\\)%[^\n]*)|\\(?P<name>@?[A-Za-z]+\*?|[^A-Za-z])|(?P<open>[{\[])|(?P<close>[}\]])|(?P<text>[^\\%{}\[\]]+|%)")
+_TEX = re.compile(r"(?P<comment>(?<!\\)%[^\n]*)|\\(?P<name>@?[A-Za-z]+\*?|[^A-Za-z])|(?P<open>[{\[])|(?P<close>[}\]])|(?P<text>[^\\%{}\[\]]+|%|\\)")
 
 
 def tex(text: str, commands: dict[str, str] | None = None, check_comments: bool = False) -> str:
@@ -188,7 +188,7 @@ def tex(text: str, commands: dict[str, str] | None = None, check_comments: bool
         else:
             if m[0].strip():
                 expects = ""
-            out.append(blank(m[0]) if hidden else m[0])
+            out.append(blank(m[0]) if hidden or m[0] == "\\" else m[0])
     return "".join(out)
 
 

@@ -73,7 +73,7 @@ def test_osa_properties(a, b):
 
 def test_typo():
     assert distance.typo("the", "the") == 0
-    assert distance.typo("the", "teh") == 60 + 110 + 110 - 220 or distance.typo("the", "teh") <= 170
+    assert distance.typo("the", "teh") == 60  # a swap
     assert distance.typo("cat", "cst") == 70  # a and s are neighbours
     assert distance.typo("cat", "cpt") == 110
     assert distance.typo("cat", "ct") <= 100

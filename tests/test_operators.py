@@ -31,29 +31,28 @@ CASES = [
     ("html", "a<script>var x</script>b", "a" + " " * 22 + "b"),
     ("html", '<img alt="a cat" src="x">', " " * 10 + "a cat" + " " * 10),
     ("html", "a&amp;b<!-- c -->d", "a     b          d"),
-    ("tex", "a \\textbf{b} % c\nd", "a         b     \nd".replace("         b     ", " " * 8 + "b" + " " * 5)),
+    ("tex", "a \\textbf{b} % c\nd", "a b d"),
     ("tex", "\\label{sec:x} see", "              see"),
-    ("texinfo", "use @code{x1} now", "use       {  } now".replace("      {  }", "     {  }")),
+    ("texinfo", "use @code{x1} now", "use now"),
     ("nroff", ".TH name\ntext \\fBbold\\fR end", "    name\ntext    bold    end"),
     ("markdown", "a `code` b", "a        b"),
-    ("markdown", "[text](http://x.y) z", "[text             z".replace("[text   ", "[text]  ", 1)),
+    ("markdown", "[text](http://x.y) z", "text z"),
     ("markdown", "```\nx\n```\ny", "   \n \n   \ny"),
     ("markdown", "    code\n\ntext", "        \n\ntext"),
-    ("context", 'x = "say"; // done', "     say      done".replace("     say ", "     say ")),
+    ("context", 'x = "say"; // done', "     say      done"),
 ]
 
 
 @pytest.mark.parametrize(("name", "text", "expected"), CASES)
 def test_filter(name, text, expected):
+    import re
+
     out = filters.REGISTRY[name](text)
     assert len(out) == len(text)
-    assert out.split() == expected.replace("{", " { ").replace("}", " } ").split() if name == "texinfo" and False else True
-    if name not in ("texinfo", "markdown", "tex"):
-        assert out == expected
-    else:
-        import re
-
+    if name in ("texinfo", "markdown", "tex"):  # brackets may stay: what counts is which words do
         assert re.findall(r"\w+", out) == re.findall(r"\w+", expected)
+    else:
+        assert out == expected
 
 
 @settings(max_examples=150, deadline=None)
