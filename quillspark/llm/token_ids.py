@@ -8,7 +8,8 @@ text's ids are those of its chunks, one after the other. A chunk is cached under
 - anything else: encoded by the whole tokenizer.
 
 Texts in which white space meets white space, or with white space other than spaces and line ends, are encoded
-whole where the vocabulary keeps spaces.
+whole where the vocabulary keeps spaces. So are, with either vocabulary, texts that hold an added token's content,
+and with the other one texts that hold a character that only Python takes for white space.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-&(-/:-@\[-`
 _ODD_ASCII = ["  ", "\n\n", " \n", "\n ", BARE, *map(chr, [9, 11, 12, 13, 28, 29, 30, 31])]
 _ODD = [*_ODD_ASCII, *map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
+#: White space of Python's split() that is none to the library.
+_NOT_SPACE = list(map(chr, [28, 29, 30, 31]))
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -73,6 +77,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.end = spaced, end
+        #: Contents of added tokens, in lower case where the vocabulary is.
+        self.added = [t.content if spaced else t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: The special token whose id is the largest; between chunks it cuts one long call into their ids.
         self.mark_id, self.mark = max((k, v.content) for k, v in self.tokenizer.get_added_tokens_decoder().items())
         #: The merge model alone, for words that are already in the vocabulary's letters.
@@ -178,9 +184,19 @@ class ChunkEncoder:
     def keys(self, text: str) -> list[str] | None:
         """Keys of a text's chunks; None: it has to be encoded whole."""
         if not self.spaced:
+            lower = text.lower()
+            for x in _NOT_SPACE:
+                if x in text:
+                    return None
+            for x in self.added:
+                if x in lower:
+                    return None
             if not _is_latin(text):
                 return text.split()
-            return _TAIL.sub(r" \g<0>", " ".join(text.lower().split())).split(" ")
+            return _TAIL.sub(r" \g<0>", " ".join(lower.split())).split(" ")
+        for x in self.added:
+            if x in text:
+                return None
         for x in _ODD_ASCII if text.isascii() else _ODD:
             if x in text:
                 return None

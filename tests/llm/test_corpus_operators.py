@@ -218,6 +218,21 @@ def test_chunked_ids_equal_the_library(spark, name, spaced):
             assert part.tolist() == [*twin.encode(text, add_special_tokens=False).ids, 0], text
 
 
+@pytest.mark.parametrize(("name", "spaced", "size"), [("word_bpe_49k.json", False, 3), ("byte_bpe_50k.json", True, 4)])
+def test_added_tokens_and_odd_white_space(name, spaced, size):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    twin, own = Tokenizer.from_file(path), ChunkEncoder(path, spaced)
+    assert own.encode(["foo <|endoftext|> bar"])[1].tolist() == [size + 1]
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<", "foo", "É", "日本", "a", "!", "'s", " ", " ", " ", "\n", *"\x1c\x1d\x1e\x1f\x85"]
+    texts = ["foo <|endoftext|> bar", "a\x1cb", "a \x1f b", *("".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(3000))]
+    ids, sizes = own.encode(texts)
+    for text, part in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert part.tolist() == [*twin.encode(text, add_special_tokens=False).ids, 0], text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=14))
 def test_bounds_and_bins(lengths):
