@@ -6,7 +6,8 @@ logistic model that turns it into a probability of label 1.
 
 Training takes labelled rows that are not held out (crc32 of the id's text, mod 5, is not 0): in the order of a hash,
 at most FIT_ROWS of each label, texts of up to FIT_CHARS characters; one half makes the dictionaries, the other
-fits the model. Scoring covers whole texts of all rows. An id with several labels counts with the lowest.
+fits the model. There each label weighs as much as all labelled rows of docs that are not held out give it, so the
+share of label 1 does not depend on the bound. Scoring covers whole texts of all rows. An id with several labels counts with the lowest.
 
 Null and empty texts are scored like a text without characters. Without labels of both kinds every score is the
 share of label 1 (0.5 without labels). Repeated rows give repeated rows; null doc_ids are not held out.
@@ -82,13 +83,16 @@ class Model:
         return nearer, nearer * abs(nearer), ratio, np.log(a / n), np.log(b / n), size, size * size / 10, nearer * size, ratio * ratio
 
     def fit(self, texts: list[str], labels: list[int]) -> None:
+        """Rows of label 1 weigh share of all, those of label 0 the rest."""
         x, y = np.array([self.features(t) for t in texts]), np.array(labels, float)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        of = np.where(y == 1, self.share / y.mean(), (1 - self.share) / (1 - y.mean()))
+        self.mean = np.average(x, 0, of)
+        self.scale = np.sqrt(np.average((x - self.mean) ** 2, 0, of)) + 1e-9
         x = self._design(x)
         w, ridge = np.zeros(x.shape[1]), np.r_[1e-9, np.full(x.shape[1] - 1, RIDGE)] * len(y)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+            step = np.linalg.solve((x * (of * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (of * (y - p)) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-9:
                 break
@@ -104,9 +108,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from a bounded sample of the labelled rows that are not held out."""
+    """A model from a bounded sample of the labelled rows that are not held out, weighted by the labels of all of them."""
     known = labels.select(F.col("doc_id").cast("long"), "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    every = {r["quality"]: r["count"] for r in known.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi").groupBy("quality").count().collect()}
     mixed = F.xxhash64("doc_id", F.lit("fit"))
     parts = [known.where(F.col("quality") == q).orderBy(mixed, "doc_id").limit(rows) for q in (0, 1)]
     # at most 2 * rows ids: small by construction
@@ -114,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     got = sorted(((zlib.crc32(b"fit" + str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["quality"]) for r in few.limit(2 * rows).collect()), key=lambda x: x[:2])
     by = {q: [(t, q) for _, _, t, own in got if own == q] for q in (0, 1)}
     made = {q: dictionary([t.encode("utf-8", "surrogatepass") for t, _ in by[q][::2]]) for q in (0, 1)}
-    model = Model(made[1], made[0], share=len(by[1]) / len(got) if got else 0.5)
+    model = Model(made[1], made[0], share=every.get(1, 0) / sum(every.values()) if every else 0.5)
     rest = [x for q in (0, 1) for x in (by[q][1::2] or by[q])]
     if by[0] and by[1]:
         model.fit(*map(list, zip(*rest, strict=True)))

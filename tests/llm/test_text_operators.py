@@ -140,6 +140,22 @@ def test_scores_with_few_labels(spark, docs, labelled):
     assert [r.held_out for r in out if r.doc_id is None] == [False]
 
 
+def test_scores_do_not_depend_on_the_sampled_share(spark, docs, monkeypatch):
+    """Texts of both labels are alike, so a score is the true share of label 1, however few rows of each label are read."""
+    rng = random.Random(3)
+    words = "some words that good and bad texts share in any order without a sign".split()
+    table = docs([(i, " ".join(rng.choices(words, k=40))) for i in range(1200)])
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1300)], "doc_id long, quality int")
+    means = []
+    for rows in (80, 3000):
+        model = compression_quality.train(table, labels, rows)
+        monkeypatch.setattr(compression_quality, "train", lambda *a, m=model: m)
+        scores = [r.score for r in compression_quality.quality_scores(table, labels).collect()]
+        monkeypatch.undo()
+        means.append(sum(scores) / len(scores))
+    assert all(0.8 < m < 0.97 for m in means), means
+
+
 @pytest.mark.parametrize("name", ["op3_pareto_mix", "op4_line_windows", "op6_suffix_repetition"])
 def test_sql_twins(spark, duck, name):
     ours, theirs = same_rows(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name]))
