@@ -3,7 +3,7 @@
 Each page becomes a DOM tree; runs of like siblings are folded into one node. The host's first page (least
 page_id) is its pattern: every other page is aligned with it by simple tree matching (the largest mapping that
 keeps order and parents). A node's text that most aligned pages repeat belongs to the template; other slots, and
-nodes the pattern lacks, carry content. Pages that repeat nearly all of the pattern's text are copies of it and
+nodes the pattern lacks, carry content. Pages whose content (before induction) is the pattern's are copies of it and
 say nothing about the template; with fewer than EVIDENCE other pages nothing counts as constant.
 
 Slots inside menus, headers, footers, side bars, notices, adverts, forms and comments vary as much as articles
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import batches, stage
 
-#: Share of aligned pages that repeat a constant text; aligned pages needed; share that makes a copy of the pattern.
-CONSTANT, EVIDENCE, COPY = 0.6, 5, 0.9
+#: Share of aligned pages that repeat a constant text; aligned pages needed.
+CONSTANT, EVIDENCE = 0.6, 5
 #: Bytes of patterns up to which they are sent to all tasks; beyond, they are joined by host.
 SENT_BYTES = 8 << 20
 #: Elements nested deeper are read as part of the one that holds them; wider nodes fold all like children, not only runs.
@@ -196,8 +196,8 @@ def folded(page: Node) -> Fold:
     return Fold([page])
 
 
-def to_json(fold: Fold) -> str:
-    return json.dumps(_plain(fold), separators=(",", ":"))
+def to_json(fold: Fold, content: int | None = None) -> str:
+    return json.dumps([*_plain(fold), content], separators=(",", ":"))
 
 
 def _plain(fold: Fold) -> list:
@@ -205,12 +205,13 @@ def _plain(fold: Fold) -> list:
 
 
 class Pattern:
-    """A host's pattern tree, nodes numbered in page order."""
+    """A host's pattern tree, nodes numbered in page order; the root holds the hash of the page's content."""
 
-    __slots__ = ("kids", "label", "number", "size", "texts")
+    __slots__ = ("content", "kids", "label", "number", "size", "texts")
 
     def __init__(self, plain: list, count: list[int]):
-        self.label, texts, kids = plain
+        self.label, texts, kids, *content = plain
+        self.content = content[0] if content else None
         self.texts, self.number = frozenset(texts), count[0]
         count[0] += 1
         self.kids = [Pattern(k, count) for k in kids]
@@ -288,14 +289,10 @@ def repeats(fold: Fold, like: Pattern) -> dict[int, set[int]]:
     return out
 
 
-def is_copy(found: dict[int, set[int]], like: Pattern) -> bool:
-    """Whether a page repeats nearly all of the pattern's text; the hashes' low part holds lengths."""
-    both = sum(h % 65_537 for s in found.values() for h in s)
-
-    def total(p: Pattern) -> int:
-        return sum(h % 65_537 for h in p.texts) + sum(map(total, p.kids))
-
-    return both >= COPY * max(1, total(like))
+def content_hash(page: Node) -> int | None:
+    """Of the content without induction: what a copy of the page shares. A page without content has no copies."""
+    text = extract(page)
+    return _hash(text) if text else None
 
 
 def extract(page: Node, constant: dict[int, set[int]] | None = None, fold: Fold | None = None) -> str:
@@ -384,7 +381,7 @@ def induce(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in batch], pa.string()), pa.array([to_json(folded(parse(t))) for _, t in batch], pa.string())], ["host", "pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in batch], pa.string()), pa.array([to_json(folded(p), content_hash(p)) for p in (parse(t) for _, t in batch)], pa.string())], ["host", "pattern"])
 
     patterned = stage(seeds.mapInArrow(patterns, "host string, pattern string"), "patterns")
     given, sent = _attach(some.select("page_id", "host", "html"), patterned, "pattern")
@@ -400,13 +397,13 @@ def induce(pages: DataFrame) -> DataFrame:
                 if like is None:
                     continue
                 like = pattern(like)
-                fold = folded(parse(text))
-                align(fold, like)
-                found = repeats(fold, like)
-                if is_copy(found, like):
+                page = parse(text)
+                if like.content is not None and content_hash(page) == like.content:
                     continue
+                fold = folded(page)
+                align(fold, like)
                 pages_of[host] = pages_of.get(host, 0) + 1
-                for node, hashes in found.items():
+                for node, hashes in repeats(fold, like).items():
                     for h in hashes:
                         counts[host, node, h] = counts.get((host, node, h), 0) + 1
             out = [(h, -1, 0, n) for h, n in pages_of.items()] + [(*k, n) for k, n in counts.items()]

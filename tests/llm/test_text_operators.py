@@ -39,6 +39,14 @@ def test_copies_are_no_template(spark):
     assert {r.text for r in out} == {"Same\nThe same long article text on all pages."}
 
 
+@pytest.mark.parametrize("shared", ["<script>" + "var a = 1; " * 500 + "</script>", "<div class=top>" + "A long word of welcome to all. " * 50 + "</div>"])
+def test_template_that_outweighs_the_pages(spark, shared):
+    """Shared text of 90 % and more of the first page makes no copies: its constants are found."""
+    pages = [f"<body>{shared}<div class=top><span>Welcome to the site</span></div><div class=body><p>Body of page {i}{' says more' * i}.</p></div></body>" for i in range(12)]
+    out = wrappers.main_text(pages_frame(spark, [(i, f"http://host.x/{i}", t) for i, t in enumerate(pages)])).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"Body of page {i}{' says more' * i}." for i in range(12)}
+
+
 def test_alignment():
     a = wrappers.folded(wrappers.parse("<div><h1>x</h1><p>1</p><p>2</p><ul><li>a<li>b</ul></div>"))
     b = wrappers.pattern(wrappers.to_json(wrappers.folded(wrappers.parse("<div><h1>y</h1><p>1</p><ul><li>a</ul><hr></div>"))))
