@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -33,7 +34,7 @@ from quillspark.llm.common import batches, stage
 CONSTANT, EVIDENCE = 0.6, 5
 #: Bytes of patterns up to which they are sent to all tasks; beyond, they are joined by host.
 SENT_BYTES = 8 << 20
-#: Elements nested deeper are read as part of the one that holds them; wider nodes fold all like children, not only runs.
+#: Elements nested deeper are aligned as part of the one that holds them; wider nodes fold all like children, not only runs.
 DEPTH, WIDTH = 150, 64
 SALTS = 16
 
@@ -98,6 +99,13 @@ def parse(page: str) -> Node:
     """A tree of the page: children are nodes and strings (decoded text)."""
     root = Node("#root", "#root", "")
     stack, at = [root], 0
+    # open elements of each tag: what is not open is not searched for
+    opened: Counter[str] = Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -115,24 +123,24 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in () if not opened[tag] else range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if tag in SAME_LEVEL:
+        if tag in SAME_LEVEL and any(opened[t] for t in SAME_LEVEL[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in SAME_LEVEL[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
@@ -147,8 +155,8 @@ def parse(page: str) -> Node:
             else:
                 node.kids.append(inside)
         elif tag not in VOID and not attributes.endswith("/"):
-            if len(stack) < DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
 
 
 class Fold:
@@ -156,13 +164,15 @@ class Fold:
 
     __slots__ = ("kids", "label", "nodes", "number", "size", "texts")
 
-    def __init__(self, nodes: list[Node]):
+    def __init__(self, nodes: list[Node], depth: int = 1):
         self.label, self.nodes, self.number = nodes[0].label, nodes, -1
+        if depth >= DEPTH:
+            self.nodes = nodes = _all_below(nodes)
         self.texts = [_hash(t) for n in nodes for t in _own_texts(n)]
-        runs = self._runs(len(nodes) > 1)
+        runs = self._runs(len(nodes) > 1) if depth < DEPTH else []
         if len(runs) > WIDTH:
             runs = self._runs(True)
-        self.kids = [Fold(r) for r in runs]
+        self.kids = [Fold(r, depth + 1) for r in runs]
         self.size = 1 + sum(k.size for k in self.kids)
 
 
@@ -184,6 +194,14 @@ class Fold:
         return runs
 
 
+def _all_below(nodes: list[Node]) -> list[Node]:
+    """The nodes and all that they hold."""
+    out = list(nodes)
+    for n in out:
+        out.extend(k for k in n.kids if isinstance(k, Node))
+    return out
+
+
 def _own_texts(node: Node) -> list[str]:
     return [t for t in (" ".join(k.split()) for k in node.kids if isinstance(k, str)) if t]
 
@@ -310,15 +328,15 @@ def extract(page: Node, constant: dict[int, set[int]] | None = None, fold: Fold
         mark(fold)
     mains: list[Node] = []
 
-    def find(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, Node) and k.role != "drop":
-                if k.role == "main":
-                    mains.append(k)
-                else:
-                    find(k)
-
-    find(page)
+    # explicit stacks: pages may be nested to any depth
+    todo = page.kids[::-1]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, Node) and k.role != "drop":
+            if k.role == "main":
+                mains.append(k)
+            else:
+                todo.extend(k.kids[::-1])
     blocks: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = [0]
@@ -330,30 +348,36 @@ def extract(page: Node, constant: dict[int, set[int]] | None = None, fold: Fold
         parts.clear()
         linked[0] = 0
 
-    def walk(n: Node, in_main: bool, in_link: bool) -> None:
-        for k in n.kids:
-            if isinstance(k, str):
-                if template and (id(n), _hash(" ".join(k.split()))) in template:
-                    parts.append(" ")
-                    continue
-                parts.append(k)
-                if in_link:
-                    linked[0] += len(k)
-            elif k.role == "drop" or k.role == "header" and not in_main:
-                if k.tag not in INLINE:
-                    close()
-            elif k.tag in INLINE:
-                if k.tag == "br":
-                    parts.append(" ")
-                walk(k, in_main, in_link or k.tag == "a")
+    def walk(top: Node, in_main: bool) -> None:
+        open_nodes = [(top, iter(top.kids), False)]
+        while open_nodes:
+            n, kids, in_link = open_nodes[-1]
+            for k in kids:
+                if isinstance(k, str):
+                    if template and (id(n), _hash(" ".join(k.split()))) in template:
+                        parts.append(" ")
+                        continue
+                    parts.append(k)
+                    if in_link:
+                        linked[0] += len(k)
+                elif k.role == "drop" or k.role == "header" and not in_main:
+                    if k.tag not in INLINE:
+                        close()
+                else:
+                    if k.tag == "br":
+                        parts.append(" ")
+                    elif k.tag not in INLINE:
+                        close()
+                    open_nodes.append((k, iter(k.kids), in_link or k.tag == "a"))
+                    break
             else:
-                close()
-                walk(k, in_main, in_link)
-                close()
+                open_nodes.pop()
+                if n.tag not in INLINE:
+                    close()
 
     for m in mains or [page]:
         close()
-        walk(m, bool(mains), False)
+        walk(m, bool(mains))
     close()
     return "\n".join(t for t, links in blocks if mains or links < 0.6 * len(t))
 

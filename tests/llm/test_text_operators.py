@@ -61,6 +61,18 @@ def test_deep_and_wide_pages(spark):
     assert out[1].count("\n") == 3999
 
 
+def test_text_around_and_in_deep_parts():
+    def text(page):
+        return wrappers.extract(wrappers.parse(page))
+
+    for n in (10, 200, 5000):
+        deep = "<div>" * n, "</div>" * n
+        assert text(f"<div><article><p>head</p>{deep[0]}core{deep[1]}<p>tail</p></article></div><p>out</p>") == "head\ncore\ntail"
+        assert text(f"{deep[0]}<nav><div>menu</div></nav><p>a</p><div class=comments><p>reader</p></div><p>b{deep[1]}<p>c") == "a\nb\nc"
+        assert text(f"{deep[0]}<main>main</main>{deep[1]}<p>rest") == "main"
+        wrappers.align(wrappers.folded(wrappers.parse(deep[0] + "x" + deep[1])), wrappers.pattern(wrappers.to_json(wrappers.folded(wrappers.parse(deep[0] + "y")))))
+
+
 def test_pages_keep_their_articles(spark):
     """On the synthetic pages the article is marked up: a regular expression finds it, too."""
     import html
