@@ -112,15 +112,33 @@ def scan(q: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
     return own.join(pairs, "a").join(entries, "b").select("q", "cand")
 
 
-def ngrams(q: DataFrame, dictionary: DataFrame, n: int = 3, keep: int = 10, threshold: int = 2) -> DataFrame:
-    """q, cand, ngram: entries whose soundslike shares the most parts with the word's: all that tie with one of the keep best.
-
-    Only soundslikes that share a part of min(n, length) characters with the word's are scored."""
-    size = F.least(F.lit(n), F.length("s"))
-    parts = F.when(F.length("s") > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - size + 1), lambda i: F.substring("s", i, size)))).otherwise(F.array().cast("array<string>"))
-    a = q.select(F.col("soundslike").alias("s")).distinct().select(F.col("s").alias("a"), F.explode(parts).alias("k"))
-    b = dictionary.select(F.col("soundslike").alias("s")).distinct().select(F.col("s").alias("b"), F.explode(parts).alias("k"))
-    scored = a.join(b, "k").select("a", "b").distinct().withColumn("ngram", ngram_score(3, F.col("a"), F.col("b"))).where(F.col("ngram") >= threshold)
+def ngrams(q: DataFrame, dictionary: DataFrame, n: int = 3, keep: int = 10) -> DataFrame:
+    """q, cand, ngram: entries whose soundslike shares the most parts with the word's: all of a score above 0 that tie with one of the keep best.
+
+    Soundslikes that share a part of n characters are scored first. Where fewer than keep of them are above all that
+    others can reach, shorter parts follow; who shares no letter scores 0."""
+    sounds = q.select(F.col("soundslike").alias("a")).distinct()
+    entries = dictionary.select(F.col("soundslike").alias("b")).distinct()
+
+    def parts(s: str, size: int) -> Column:
+        return F.when(F.length(s) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.substring(s, i, size)))).otherwise(F.array().cast("array<string>"))
+
+    rest, every = sounds, []
+    for size in range(n, 0, -1):
+        a = rest.select("a", F.explode(parts("a", size)).alias("k"))
+        b = entries.select("b", F.explode(parts("b", size)).alias("k"))
+        scored = a.join(b, "k").select("a", "b").distinct().withColumn("ngram", ngram_score(n, F.col("a"), F.col("b"))).where("ngram > 0")
+        if size > 1:
+            # without a shared part of this size, all shorter parts at most
+            reach = sum((F.greatest(F.length("a") - j + 1, F.lit(0)) for j in range(1, size)), F.lit(0))
+            full = scored.where(F.col("ngram") > reach).groupBy("a").count().where(F.col("count") >= keep).select("a")
+            every.append(scored.join(full, "a", "left_semi"))
+            rest = rest.join(full, "a", "left_anti")
+        else:
+            every.append(scored)
+    scored = every[0]
+    for more in every[1:]:
+        scored = scored.unionByName(more)
     ranked = scored.withColumn("rank", F.rank().over(Window.partitionBy("a").orderBy(F.desc("ngram")))).where(F.col("rank") <= keep)
     return q.select("q", F.col("soundslike").alias("a")).join(ranked, "a").join(dictionary.select(F.col("word").alias("cand"), F.col("soundslike").alias("b")), "b").select("q", "cand", "ngram")
 
@@ -191,7 +209,7 @@ def candidates(q: DataFrame, dictionary: DataFrame, mode: Mode, table: DataFrame
         if 2 in mode.scans:
             late.append(scan(short, dictionary, 2))
         if mode.ngrams:
-            late.append(ngrams(short, dictionary, 3, mode.ngram_keep, mode.ngram_threshold).select("q", "cand"))
+            late.append(ngrams(short, dictionary, 3, mode.ngram_keep).select("q", "cand"))
     for more in late:
         found = found.unionByName(more.select("q", "cand", plain.alias("given"), F.lit("scan").alias("kind"), F.lit(True).alias("counted")))
     # a candidate found twice: the given score that is lowest, the counted kind first

@@ -294,3 +294,28 @@ def test_front_coding(spark):
 def test_word_columns_pass(spark, words):
     rows = spark.createDataFrame([("teh", 1)], "word string, clean int")
     assert check.with_verdict(rows, words).select("clean", F.col("is_correct")).first() == (1, False)
+
+
+def test_ngrams_score_all_soundslikes(spark):
+    """Against the rule itself: all of a score above 0 that tie with one of the ten best, whatever parts they share."""
+    import random
+
+    def score(a, b):
+        total = 0
+        for j in range(1, 4):
+            ns = sum(a[i : i + j] in b for i in range(len(a) - j + 1))
+            total += ns
+            if ns < 2:
+                break
+        return total - max(0, len(b) - len(a) - 2)
+
+    rng = random.Random(4)
+    sounds = sorted({"".join(rng.choices("ABKLMNRT", k=rng.randint(1, 6))) for _ in range(150)})
+    words = [*sounds[::25], "XQZ", "XA", "BKLMRT"]
+    q = spark.createDataFrame([(w, w) for w in words], "q string, soundslike string")
+    d = spark.createDataFrame([(s, s) for s in sounds], "word string, soundslike string")
+    want = set()
+    for w in words:
+        found = sorted(((n, s) for s in sounds if (n := score(w, s)) > 0), reverse=True)
+        want |= {(w, s, n) for n, s in found if n >= found[:10][-1][0]}
+    assert {tuple(r) for r in suggest.ngrams(q, d).collect()} == want
