@@ -1,16 +1,18 @@
 """Quality scores by compression: one zstandard dictionary from good labelled text, one from bad.
 
-A text is compressed in pieces of PIECE bytes with either dictionary and with none. What decides is the size
-difference between the two, normalised by their sum; with the compression ratios and the length it goes into a
-logistic model that turns it into a probability of label 1.
+A text is compressed in pieces of PIECE bytes with either dictionary. What decides is one number: the difference of
+the two compressed sizes, normalised by the text's bytes. A logistic curve of that number, which only rises, turns it
+into a probability of label 1.
 
 Training takes labelled rows that are not held out (crc32 of the id's text, mod 5, is not 0): in the order of a hash,
-at most FIT_ROWS of each label, texts of up to FIT_CHARS characters; one half makes the dictionaries, the other
-fits the model. There each label weighs as much as all labelled rows of docs that are not held out give it, so the
-share of label 1 does not depend on the bound. Scoring covers whole texts of all rows. An id with several labels counts with the lowest.
+at most FIT_ROWS of each label and of these at most FIT_TOTAL characters, texts of up to FIT_CHARS characters; one half
+makes the dictionaries, the other fits the curve. There each label weighs as much as all labelled rows of docs that are
+not held out give it, so the share of label 1 does not depend on the bound. Scoring covers whole texts of all rows. An
+id with several labels counts with the lowest, one with several texts with the least.
 
 Null and empty texts are scored like a text without characters. Without labels of both kinds every score is the
-share of label 1 (0.5 without labels). Repeated rows give repeated rows; null doc_ids are not held out.
+share of label 1 (0.5 without labels). Repeated rows give repeated rows, ties in size score alike; null doc_ids are
+not held out. An empty table gives an empty one. Other columns are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import batches
 
-FIT_ROWS, FIT_CHARS = 3000, 100_000
-PIECE, LEVEL, DICT_BYTES = 1024, 3, 64 << 10
+FIT_ROWS, FIT_CHARS, FIT_TOTAL = 3000, 100_000, 12 << 20
+PIECE, LEVEL, DICT_BYTES = 1024, 3, 32 << 10
 FOLDS, THRESHOLD = 5, 0.3
 RIDGE = 1e-3
 
@@ -51,9 +53,8 @@ def dictionary(texts: list[bytes]) -> bytes:
 class Model:
     good: bytes
     bad: bytes
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    slope: float | None = None
+    shift: float = 0.0
     share: float = 0.5
 
     def __getstate__(self):
@@ -67,44 +68,40 @@ class Model:
             dicts = [zstandard.ZstdCompressionDict(d) for d in (self.good, self.bad)]
             for d in dicts:
                 d.precompute_compress(LEVEL)
-            self._compressors = [*(zstandard.ZstdCompressor(dict_data=d, **own).compress for d in dicts), zstandard.ZstdCompressor(**own).compress]
+            self._compressors = [zstandard.ZstdCompressor(dict_data=d, **own).compress for d in dicts]
         return self._compressors
 
-    def features(self, text: str | None) -> tuple[float, ...]:
+    def difference(self, text: str | None) -> float:
+        """Bytes that the good dictionary saves over the bad one, for each byte of text."""
         raw = (text or "").encode("utf-8", "surrogatepass")
-        good, bad, plain = self.compressors()
-        a = b = p = 0
-        for i in range(0, max(1, len(raw)), PIECE):
+        good, bad = self.compressors()
+        saved = 0
+        for i in range(0, len(raw), PIECE):
             piece = raw[i : i + PIECE]
-            a, b, p = a + len(good(piece)), b + len(bad(piece)), p + len(plain(piece))
-        n = max(1, len(raw))
-        nearer, size = (b - a) / (a + b), np.log1p(n)
-        ratio = np.log(p / n)
-        return nearer, nearer * abs(nearer), ratio, np.log(a / n), np.log(b / n), size, size * size / 10, nearer * size, ratio * ratio
+            saved += len(bad(piece)) - len(good(piece))
+        return saved / max(1, len(raw))
 
     def fit(self, texts: list[str], labels: list[int]) -> None:
-        """Rows of label 1 weigh share of all, those of label 0 the rest."""
-        x, y = np.array([self.features(t) for t in texts]), np.array(labels, float)
+        """Rows of label 1 weigh share of all, those of label 0 the rest. If good texts don't save more, the share is all that is known."""
+        x, y = np.array([self.difference(t) for t in texts]), np.array(labels, float)
         of = np.where(y == 1, self.share / y.mean(), (1 - self.share) / (1 - y.mean()))
-        self.mean = np.average(x, 0, of)
-        self.scale = np.sqrt(np.average((x - self.mean) ** 2, 0, of)) + 1e-9
-        x = self._design(x)
-        w, ridge = np.zeros(x.shape[1]), np.r_[1e-9, np.full(x.shape[1] - 1, RIDGE)] * len(y)
+        mean = np.average(x, 0, of)
+        scale = np.sqrt(np.average((x - mean) ** 2, 0, of)) + 1e-9
+        x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+        w, ridge = np.zeros(2), np.array([1e-9, RIDGE]) * len(y)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve((x * (of * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (of * (y - p)) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-9:
                 break
-        self.weights = w
-
-    def _design(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)])
+        if w[1] > 0:
+            self.slope, self.shift = float(w[1] / scale), float(w[0] - w[1] * mean / scale)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.weights is None:
+        if self.slope is None:
             return np.full(len(texts), self.share)
-        return 1 / (1 + np.exp(-np.clip(self._design(np.array([self.features(t) for t in texts])) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.shift + self.slope * np.array([self.difference(t) for t in texts]), -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -115,7 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     mixed = F.xxhash64("doc_id", F.lit("fit"))
     parts = [known.where(F.col("quality") == q).orderBy(mixed, "doc_id").limit(rows) for q in (0, 1)]
     # at most 2 * rows ids: small by construction
-    few = docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").dropDuplicates(["doc_id"])
+    few = docs.select(F.col("doc_id").cast("long"), "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    few = few.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("quality").orderBy(mixed, "doc_id"))
+    few = few.withColumn("upto", upto).where(F.col("upto") <= FIT_TOTAL).drop("upto")
     got = sorted(((zlib.crc32(b"fit" + str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["quality"]) for r in few.limit(2 * rows).collect()), key=lambda x: x[:2])
     by = {q: [(t, q) for _, _, t, own in got if own == q] for q in (0, 1)}
     made = {q: dictionary([t.encode("utf-8", "surrogatepass") for t, _ in by[q][::2]]) for q in (0, 1)}
