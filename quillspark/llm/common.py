@@ -47,6 +47,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def field(struct: str, name: str) -> Column:
+    """A field of a struct under its own name, whatever characters the name has."""
+    return F.col(struct).getField(name).alias(name)
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text as a long; null texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -20,8 +20,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id", "source"])
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,34 +85,35 @@ t AS (
   SELECT source, source_size, least(most, weight * (SELECT own_level FROM l WHERE most / weight >= own_level ORDER BY most / weight, rank LIMIT 1)) AS target FROM l),
 g AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS whole FROM t),
-r AS (SELECT *, greatest(0.0, target - whole * source_size) AS rest FROM g),
-w AS (
-  SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.whole, r.rest,
-         d.size > greatest(1.0, r.rest * 0.02::DOUBLE) AS large
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-a AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, large ORDER BY u, doc_id) AS upto,
-         CAST(sum(size) OVER (PARTITION BY source, large) AS DOUBLE) * rest / source_size AS goal
-  FROM w WHERE size > 0),
-one AS (
-  SELECT doc_id, source, size, u, rest, goal > 0 AND (upto <= goal AND upto < goal OR upto - size < goal AND upto - goal < goal - (upto - size)) AS drawn FROM a WHERE large),
-two AS (
-  SELECT a.doc_id, a.source, a.size, a.u, a.rest, a.upto, greatest(0.0, a.rest - coalesce(x.got, 0)) AS goal
-  FROM a LEFT JOIN (SELECT source, sum(size) AS got FROM one WHERE drawn GROUP BY source) x ON a.source IS NOT DISTINCT FROM x.source WHERE NOT a.large),
-b AS (
-  SELECT doc_id, source, size, u, rest, drawn FROM one
+r AS (SELECT *, greatest(0.0::DOUBLE, target - whole * source_size) AS rest FROM g),
+v AS (SELECT source, sum(CAST(size AS DOUBLE) * CAST(size AS DOUBLE)) AS squares, max(size) AS longest FROM d GROUP BY source),
+f AS (
+  SELECT r.*, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0.0::DOUBLE END AS share, CASE WHEN source_size > 0 THEN squares / source_size ELSE 1.0::DOUBLE END AS mean, longest
+  FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source),
+p AS (
+  SELECT *, 0.5::DOUBLE * least(1.0::DOUBLE, CASE WHEN longest > mean THEN mean / (longest - mean) ELSE 1.0::DOUBLE END, CASE WHEN share > 0 THEN (1.0::DOUBLE - share) / share ELSE 1.0::DOUBLE END) AS tilt FROM f),
+i AS (
+  SELECT d.*, rest, p.share * (1.0::DOUBLE + tilt * (1.0::DOUBLE - size / mean)) AS prob FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE rest > 0 AND size > 0),
+o AS (SELECT doc_id, source, size, rest, (u / (1.0::DOUBLE - u)) / (prob / (1.0::DOUBLE - prob)) AS odds FROM i),
+a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS upto FROM o),
+n AS (SELECT *, upto > rest AS out, row_number() OVER (PARTITION BY source, upto > rest ORDER BY odds, doc_id) AS k FROM a),
+cut AS (SELECT source, doc_id AS last, size AS last_size, rest - (upto - size) AS room FROM n WHERE out AND k = 1),
+c AS (
+  SELECT n.source, n.doc_id, n.size, length(bin(n.size)) AS class, row_number() OVER (PARTITION BY n.source, length(bin(n.size)) ORDER BY odds, n.doc_id) AS j
+  FROM n JOIN cut ON n.source IS NOT DISTINCT FROM cut.source WHERE out AND k > 1 AND n.size <= room),
+fill AS (
+  SELECT source, last, last_size, room, room AS first_room, 64 AS class, CAST([] AS BIGINT[]) AS more FROM cut
   UNION ALL
-  SELECT doc_id, source, size, u, rest, goal > 0 AND (upto < goal OR upto - size < goal AND upto - goal < goal - (upto - size)) FROM two),
-gap AS (SELECT source, any_value(rest) - sum(CASE WHEN drawn THEN size ELSE 0 END) AS gap FROM b GROUP BY source),
-swap AS (
-  SELECT b.doc_id, row_number() OVER (PARTITION BY b.source ORDER BY abs(abs(gap) - size), u, b.doc_id) AS k
-  FROM b JOIN gap ON b.source IS NOT DISTINCT FROM gap.source
-  WHERE drawn = (gap < 0) AND abs(abs(gap) - size) < abs(gap)),
-f AS (SELECT b.doc_id, b.drawn <> (s.doc_id IS NOT NULL) AS drawn FROM b LEFT JOIN (SELECT doc_id FROM swap WHERE k = 1) s ON b.doc_id = s.doc_id)
-SELECT w.doc_id, w.source, w.size, w.source_size, w.target,
-       CAST(CASE WHEN w.size > 0 THEN w.whole + CAST(f.drawn AS INT) ELSE 0 END AS BIGINT) AS copies,
-       CAST(CASE WHEN w.size > 0 THEN w.whole + CAST(f.drawn AS INT) ELSE 0 END * w.size AS BIGINT) AS taken
-FROM w LEFT JOIN f ON w.doc_id = f.doc_id""",
+  SELECT fill.source, last, last_size, CASE WHEN c.size <= room THEN room - c.size ELSE room END, first_room, fill.class - 1,
+         CASE WHEN c.size <= room THEN list_append(more, c.doc_id) ELSE more END
+  FROM fill LEFT JOIN c ON c.source IS NOT DISTINCT FROM fill.source AND c.class = fill.class - 1 AND c.j = 1 WHERE fill.class > 1),
+e AS (SELECT source, CASE WHEN last_size - first_room < room THEN [last] ELSE more END AS more FROM fill WHERE class = 1),
+drawn AS (
+  SELECT n.doc_id FROM n LEFT JOIN e ON n.source IS NOT DISTINCT FROM e.source WHERE NOT out OR list_contains(more, n.doc_id))
+SELECT d.doc_id, d.source, d.size, p.source_size, p.target,
+       CAST(CASE WHEN d.size > 0 THEN whole + CAST(d.doc_id IN (SELECT doc_id FROM drawn) AS INT) ELSE 0 END AS BIGINT) AS copies,
+       CAST(CASE WHEN d.size > 0 THEN whole + CAST(d.doc_id IN (SELECT doc_id FROM drawn) AS INT) ELSE 0 END * d.size AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source""",
     "op4_line_windows": r"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos

@@ -64,6 +64,45 @@ def test_mix_edges(spark, docs):
     assert (row["size"], row["rank"], row["u"], row["of"], row["whole"]) == (3, 1, 2, 3, 4)
 
 
+def test_ties_split(spark, docs):
+    """Rows alike in all columns are drawn one by one; the words taken are those nearest to the target."""
+    rows = [(None, " ".join("w" * 100), "a") for _ in range(50)] + [(i, " ".join("w" * 30), "b") for i in range(40)]
+    out = mixing.mix(docs(rows).repartition(5)).collect()
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].size / 2
+    assert len({r.taken for r in out if r.source == "a"}) == 2
+
+
+def test_inclusion_frequencies(spark, docs):
+    """Over many sources of one shape, each with draws of its own, a size's share of drawn documents is its p."""
+    rows = [(1000 * s + i, " ".join("w" * (8, 40)[i % 4 == 0]), f"s{s:03}") for s in range(300) for i in range(40)]
+    out = mixing.mix(docs(rows)).collect()
+    mean = (30 * 8**2 + 10 * 40**2) / (30 * 8 + 10 * 40)
+    for w in range(3):
+        own = [r for r in out if int(r.source[1:]) % 3 == w]
+        rate = own[0].target / own[0].source_size
+        share = rate % 1
+        if not share:
+            continue
+        tilt = 0.5 * min(1, mean / (40 - mean) if 40 > mean else 1, (1 - share) / share)
+        for size in (8, 40):
+            of_size = [r.copies - int(rate) for r in own if r.size == size]
+            p = share * (1 + tilt * (1 - size / mean))
+            # one document in forty fills up the words, whatever its p
+            assert abs(sum(of_size) / len(of_size) - p) < 0.05, (w, size, p)
+
+
+def test_mix_keeps_columns(spark, docs):
+    names = ["_told", "_of", "_size", "_hash", "_u", "size", "taken", "target", "copies", "source_size", "odds", "row", "doc", "u", "a.b", "last", "more", "rank"]
+    clash = docs([(1, "a b c", "s"), (2, "d e", "t")]).withColumns({n: F.lit(n) for n in names}).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    for r in mixing.take_copies(clash).collect():
+        assert all(r[n] == n for n in names)
+    assert mixing.take_copies(clash).columns == clash.columns
+    for r in mixing.mix(clash).collect():
+        assert r["size"] == len(r["text"].split()) and r["_told"] == "_told" and r["a.b"] == "a.b"
+
+
 # Lines.
 
 
