@@ -57,6 +57,27 @@ def field(struct: str, name: str) -> Column:
     return F.col(struct).getField(name).alias(name)
 
 
+#: A key of more rows than this, and than one in HOT_SHARE of all, is joined in SALTS parts.
+HOT_ROWS, HOT_SHARE, SALTS = 1000, 50_000, 64
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join on key, of which a few values may hold most rows of left; right has one row for each.
+
+    counted: rows of left's keys, if they are cheaper to count; or sizes: key, size. Fewer than HOT_SHARE keys are hot."""
+    if sizes is None:
+        sizes = counted.groupBy(key).agg(F.count("*").alias("size"))
+    sizes = sizes.select(key, "size").where(F.col("size") > HOT_ROWS)
+    sizes = stage(sizes, "hot")
+    total = sizes.agg(F.sum("size")).first()[0]
+    if not total:
+        return left.join(right, key)
+    hot = F.broadcast(sizes.where(F.col("size") > total // HOT_SHARE).select(key))
+    salted = left.join(hot, key, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(SALTS)).cast("int"))
+    parts = right.join(hot, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(salted.join(parts, [key, "_salt"]).drop("_salt"))
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text as a long; null texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

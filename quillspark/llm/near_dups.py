@@ -1,21 +1,27 @@
 """Near duplicates: many universal hash minima, banding, verification on full sets, connected components.
 
 A text's set holds the hashes of its distinct five-word shingles (words are runs of non-white space, A-Z in
-lower case; a text of fewer words is one shingle). PERMUTATIONS universal hash functions give its signature;
-BANDS bands of ROWS minima each make buckets. Texts with equal words are one node from the start.
+lower case; a text of fewer words is one shingle). Universal hash functions give its signature; bands of its minima
+make buckets. How many bands of how many minima there are follows from the similarity asked for, so that a pair
+at that similarity is missed with probability MISS at most. Texts with equal words are one node from the start.
 
 Links inside a bucket: first all members against the least one, by signature, then on full sets. Where a bucket
-still holds more than one component, tiles of bounded size find which components alike signatures connect: that
-makes clusters, each text in one at most. In each cluster, tiles of bounded size compare full sets of all texts of
-unlike components. A tile gives a spanning forest, not all its pairs. No bucket is dropped or capped.
+still holds more than one component, its members that agree with one of another component by signature are open, and
+so are all members of a bucket of more than TILE. Open nodes are joined exactly: in the order of rising shingle
+counts, two sets of the similarity share one of their first shingles, so passages that many texts share are
+never met on. Texts that meet there and agree by signature and size are compared on full sets. No bucket is dropped
+or capped; shingles on which more than TILE open texts meet are compared in tiles.
 
 Null and blank texts have an empty set, are linked with nothing and stay. A row without doc_id is linked with
 nothing and stays (component null). Rows that repeat a doc_id are one document if their texts are equal;
-otherwise each is linked by its own text.
+otherwise each is linked by its own text, and component_id is the least doc_id that its text reaches. Any long is a
+doc_id. Ties need no rule: links have no order. An empty table gives an empty one. Other columns of docs are left out
+by near_duplicates(), passed on as they are, whatever their names, by keep_representatives().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,25 +29,46 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batches, stage
+from quillspark.llm.common import batches, skewed_join, stage
 from quillspark.llm.components import components
 
-SHINGLE = 5
-#: A pair at 0.85 shares no band with probability (1 - 0.85^5)^26 = 2e-7.
-BANDS, ROWS = 26, 5
-PERMUTATIONS = BANDS * ROWS
-#: A pair at 0.85 has fewer equal minima than this with probability below 1e-6.
-SIGNATURE_LEAST = 0.68
-#: Rows and shingles of a tile on each side; identifiers up to which they are broadcast (16 bytes each).
-TILE, TILE_SHINGLES, BROADCAST_ROWS = 256, 1 << 19, 100_000
+SHINGLE, PERCENT = 5, 85
+#: A pair at the similarity shares no band with this probability; minima of a signature at most.
+MISS, MINIMA = 2.5e-7, 135
+#: Standard deviations below the similarity down to which signatures may agree: about one pair in a million agrees less.
+DEVIATIONS = 5.4
+#: Members of a group that are compared with each other in one go; identifiers up to which they are broadcast (24 bytes each).
+TILE, BROADCAST_ROWS = 256, 100_000
+#: Counters of open shingles: they only order shingles, so shingles may share one.
+COUNTERS = 1 << 20
 
 SIGNATURES = "doc_id long, n_shingles long, text_key binary, signature binary"
 
 
-@lru_cache(maxsize=1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and minima of each: the longest bands that miss few enough within MINIMA."""
+    for rows in range(12, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+        if bands * rows <= MINIMA or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def minima_of(percent: int) -> int:
+    bands, rows = banding(percent)
+    return bands * rows
+
+
+def least_agreement(percent: int) -> float:
+    """Share of equal minima that pairs of the similarity have at least."""
+    t = percent / 100
+    return t - DEVIATIONS * math.sqrt(t * (1 - t) / minima_of(percent))
+
+
+@lru_cache(maxsize=4)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20_231))
-    return rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,51 +109,76 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list
     return np.concatenate(out), counts, words
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row of SIGNATURES for each row of docs (doc_id, text)."""
+    n = minima_of(percent)
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        a, b = _functions()
+        a, b = _functions(n)
         for batch in batches(rows):
             ids, texts = zip(*batch, strict=True)
             x, counts, words = shingles(texts)
             some = counts > 0
-            minima = np.zeros((len(texts), PERMUTATIONS), np.uint32)
+            minima = np.zeros((len(texts), n), np.uint32)
             if some.any():
                 starts = (np.cumsum(counts) - counts)[some]
                 y = np.empty_like(x)
-                for k in range(PERMUTATIONS):
+                for k in range(n):
                     np.multiply(x, a[k], out=y)
                     np.add(y, b[k], out=y)
                     minima[some, k] = np.minimum.reduceat(y, starts) >> np.uint64(32)
             keys = [xxh3_128_digest(b" ".join(w)) for w in words]
-            raw = [m.tobytes() if n else None for m, n in zip(minima, counts, strict=True)]
+            raw = [m.tobytes() if c else None for m, c in zip(minima, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "text_key", "signature"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURES)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes, as bytes) of each row of docs (doc_id, text)."""
+    """text_key, shingles (sorted 64-bit hashes, as bytes) of each row of docs (text)."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh3_128_digest
 
-        for batch in batches(rows):
-            ids, texts = zip(*batch, strict=True)
-            x, counts, _ = shingles(texts)
+        for batch in batches(rows, text=0):
+            x, counts, words = shingles([t for (t,) in batch])
             raw, ends = x.tobytes(), 8 * np.cumsum(counts)
             sets = [raw[a:b] for a, b in zip((ends - 8 * counts).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            keys = [xxh3_128_digest(b" ".join(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["text_key", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "text_key binary, shingles binary")
+
+
+def _sets_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles of the nodes needed (node)."""
+    told = stage(needed.join(nodes.select("node", "doc_id", "text_key"), "node"), "needed")
+    ids = told.select("doc_id").distinct()
+    if told.count() <= BROADCAST_ROWS:
+        ids, told = F.broadcast(ids), F.broadcast(told)
+    sets = shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"))
+    # rows that repeat id and text have one set
+    return stage(sets.join(told.select("node", "text_key"), "text_key").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in SIGNATURE_LEAST of their minima."""
+
+def _with_ends(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """a, b, left, right: a value of both ends of each pair. Many pairs may share an end a."""
+    left = values.select(F.col("node").alias("a"), F.col(column).alias("left"))
+    right = values.select(F.col("node").alias("b"), F.col(column).alias("right"))
+    return skewed_join(pairs.join(right, "b"), left, "a", pairs).select("a", "b", "left", "right")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough."""
+    n, least = minima_of(percent), least_agreement(percent)
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -134,16 +186,14 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in rows:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                left, right = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for c in part.columns[2:])
-                good = (left == right).sum(1) >= SIGNATURE_LEAST * PERMUTATIONS
+                left, right = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, n) for c in part.columns[2:])
+                good = (left == right).sum(1) >= least * n
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], ["a", "b"])
 
-    own = nodes.select("node", "signature")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a").join(own.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return _with_ends(pairs, nodes, "signature").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union, on full sets."""
 
     def run(rows: Iterator) -> Iterator:
@@ -159,9 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    return _with_ends(pairs, _sets_of(_ends(pairs), docs, nodes), "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
 def _grouped(rows: Iterator, keys: int, text: int) -> Iterator[list[tuple]]:
@@ -177,146 +225,148 @@ def _grouped(rows: Iterator, keys: int, text: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _tiled(groups: DataFrame, key: str) -> DataFrame:
-    """Rows of groups (key, node, tiles, ...) in each tile (i, j), i <= j, of their group that their own number is part of.
+def _agreeing(rows: list[tuple], n: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of rows (..., node, component, n_shingles, signature): each with the later ones of other components that may be linked with it."""
+    part = np.unique([r[-3] for r in rows], return_inverse=True)[1]
+    if part.max() == 0:
+        return
+    sizes = np.array([r[-2] for r in rows])
+    signature = np.frombuffer(b"".join(r[-1] for r in rows), np.uint32).reshape(-1, n)
+    for k in range(len(rows) - 1):
+        small, large = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
+        rest = k + 1 + np.flatnonzero((part[k + 1 :] != part[k]) & (100 * small >= percent * large))
+        if len(rest):
+            rest = rest[(signature[rest] == signature[k]).sum(1) >= least * n]
+            if len(rest):
+                yield k, rest
+
+
+def _open_nodes(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, component: of what may be linked with another component of a bucket."""
+    n, least = minima_of(percent), least_agreement(percent)
+    of = F.coalesce("component", "node").alias("component")
+    told = stage(members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", of), "told")
+    mixed = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    few = told.where(F.col("size") <= TILE).join(mixed, "bucket").join(nodes.select("node", "n_shingles", "signature"), "node")
+
+    def run(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group in _grouped(rows, 1, 4):
+            found = np.zeros(len(group), bool)
+            for k, rest in _agreeing(group, n, least, percent):
+                found[k] = found[rest] = True
+            own = [group[i][1:3] for i in np.flatnonzero(found).tolist()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], ["node", "component"])
 
-    A row is in as many tiles as its group has numbers; each pair of rows meets in one tile at least."""
-    dealt = groups.withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "tiles")
+    ordered = few.select("bucket", "node", "component", "n_shingles", "signature").repartition("bucket").sortWithinPartitions("bucket", "node")
+    agreeing = ordered.mapInArrow(run, "node long, component long")
+    many = told.where(F.col("size") > TILE)
+    large = skewed_join(many, mixed, "bucket", many).select("node", "component")
+    return agreeing.unionByName(large).distinct()
 
 
-def _edges(tiles: DataFrame, key: str, columns: list[str], find) -> DataFrame:
-    """What find (rows of a tile: pairs) says of all tiles, as rows a, b."""
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How often a shingle of each of COUNTERS classes occurs."""
+
+    def run(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        count = np.zeros(COUNTERS, np.int64)
+        for batch in rows:
+            for raw in batch.column(0).to_pylist():
+                count += np.bincount((np.frombuffer(raw, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if len(raw) > COUNTERS else 0
+                if len(raw) <= COUNTERS:
+                    np.add.at(count, (np.frombuffer(raw, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(count)
+        for i in range(0, len(some), 65_536):
+            own = some[i : i + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(count[own])], ["counter", "n"])
+
+    # at most COUNTERS rows
+    told = sets.select("shingles").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[told["counter"].to_numpy()] = told["n"].to_numpy()
+    return out
+
+
+def _first_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, node: the rarest shingles of each set, enough of them that two sets of the similarity share one."""
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    def run(rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in rows:
+            for node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                n = len(x) + (-percent * len(x) // 100) + 1
+                first = x[np.lexsort((x, counts.value[(x % np.uint64(COUNTERS)).astype(np.int64)]))[:n]]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), node, np.int64))], ["shingle", "node"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
+
+
+def _exact_pairs(opened: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open nodes (node, component) of unlike components that share a first shingle and agree by size and signature."""
+    n, least = minima_of(percent), least_agreement(percent)
+    met = stage(_first_shingles(_sets_of(opened.select("node"), docs, nodes), percent).join(opened, "node"), "first")
+    groups = met.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    dealt = skewed_join(met, groups, "shingle", met).withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+    # a group of one tile is one; else each pair of rows meets in one tile at least
+    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
         out: list[tuple[int, int]] = []
-        for tile in _grouped(rows, 3, len(columns) + 2):
-            out += find(tile)
-            if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
+        for tile in _grouped(rows, 3, 6):
+            for k, rest in _agreeing(tile, n, least, percent):
+                out += [(min(tile[k][3], tile[i][3]), max(tile[k][3], tile[i][3])) for i in rest.tolist()]
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                    out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    sorted_tiles = tiles.select(key, "i", "j", *columns).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
-    return sorted_tiles.mapInArrow(run, "a long, b long").distinct()
-
-
-def _joined(part: np.ndarray, k: int, others: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links row k with others, one for each part they are in, and makes these parts one."""
-    for x in others.tolist():
-        if part[x] != part[k]:
-            part[part == part[x]] = part[k]
-            yield int(node[k]), int(node[x])
+    full = tiled.join(nodes.select("node", "n_shingles", "signature"), "node").select("shingle", "i", "j", "node", "component", "n_shingles", "signature")
+    return full.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _forest(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Pairs (of _, _, _, node, component, signature) that agree in SIGNATURE_LEAST of their minima: enough of them to hold together all that such pairs connect."""
-    part = np.unique([r[4] for r in rows], return_inverse=True)[1]
-    if part.max() == 0:
-        return
-    node = np.array([r[3] for r in rows])
-    signature = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, PERMUTATIONS)
-    for k in range(len(rows) - 1):
-        rest = k + 1 + np.flatnonzero(part[k + 1 :] != part[k])
-        if len(rest):
-            same = (signature[rest] == signature[k]).sum(1)
-            yield from _joined(part, k, rest[same >= SIGNATURE_LEAST * PERMUTATIONS], node)
-
-
-def _exact(percent: int):
-    """Like _forest on (_, _, _, node, component, shingles), by the sets themselves."""
-
-    def find(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        part = np.unique([r[4] for r in rows], return_inverse=True)[1]
-        if part.max() == 0:
-            return
-        node = np.array([r[3] for r in rows])
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-        sizes = np.array(list(map(len, sets)))
-        starts = np.cumsum(sizes) - sizes
-        dense = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        mark = np.zeros(int(dense.max()) + 1, np.int32)
-        for k in range(len(rows) - 1):
-            small, large = np.minimum(sizes, sizes[k]), np.maximum(sizes, sizes[k])
-            open_ = (part != part[k]) & (100 * small >= percent * large)
-            open_[: k + 1] = False
-            rest = np.flatnonzero(open_)
-            if not len(rest):
-                continue
-            own = dense[starts[k] : starts[k] + sizes[k]]
-            mark[own] = 1
-            if 4 * len(rest) < len(rows):
-                both = np.array([int(mark[dense[starts[x] : starts[x] + sizes[x]]].sum()) for x in rest.tolist()])
-            else:
-                both = np.add.reduceat(mark[dense], starts)[rest]
-            mark[own] = 0
-            yield from _joined(part, k, rest[100 * both >= percent * (sizes[rest] + sizes[k] - both)], node)
-
-    return find
-
-
-def _clusters(members: DataFrame, labels: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """cluster, node, component: of clusters, by alike signatures in a bucket, that hold more than one component."""
-    of = F.coalesce("component", "node").alias("component")
-    told = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", of)
-    mixed = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    dealt = told.join(mixed, "bucket").join(nodes.select("node", "signature"), "node").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    forest = stage(_edges(_tiled(dealt, "bucket"), "bucket", ["node", "component", "signature"], _forest), "forest")
-    if forest.isEmpty():
-        return forest.select(F.col("a").alias("cluster"), F.col("a").alias("node"), F.col("b").alias("component"))
-    wide = components(links.unionByName(forest))
-    both = wide.select(F.col("component").alias("cluster"), "node").unionByName(wide.select(F.col("component").alias("cluster"), F.col("component").alias("node")).distinct())
-    of_forest = forest.select(F.col("a").alias("node")).unionByName(forest.select(F.col("b").alias("node"))).distinct()
-    open_ = both.join(of_forest, "node").select("cluster").distinct()
-    return both.join(open_, "cluster").join(labels, "node", "left").select("cluster", "node", of)
-
-
-def _exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links between unlike components of a cluster: in tiles of at most about TILE_SHINGLES shingles and TILE rows a side."""
-    sized = clusters.join(nodes.select("node", "n_shingles"), "node")
-    tiles = F.greatest(F.ceil(F.sum("n_shingles") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles")
-    dealt = sized.join(sized.groupBy("cluster").agg(tiles), "cluster").select("cluster", "node", "component", "tiles")
-    sets = _sets_of(clusters.select(F.col("node").alias("doc_id")).distinct(), docs)
-    full = _tiled(dealt, "cluster").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
-    return _edges(full, "cluster", ["node", "component", "shingles"], _exact(percent))
-
-
-def _sets_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, shingles of the documents needed (doc_id)."""
-    needed = stage(needed, "needed")
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    return stage(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")), "sets")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    signed = stage(signatures(docs), "signatures")
+    bands, rows = banding(percent)
+    signed = stage(signatures(docs, percent), "signatures")
     able = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = stage(able.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "nodes")
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    hashed = groups.select("node", band.alias("band", "minima")).select("node", F.xxhash64("band", "minima").alias("bucket"))
-    buckets = hashed.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = stage(hashed.join(buckets, "bucket").select("bucket", "node", "least", "size"), "members")
-    first = stage(_alike(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), groups), "pairs")
-    links = stage(_verified(first, docs, percent), "links")
+    texts = able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    nodes = stage(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("signature", i * (4 * rows) + 1, F.lit(4 * rows))))
+    hashed = nodes.select("node", band.alias("band", "minima")).select("node", F.xxhash64("band", "minima").alias("bucket"))
+    buckets = stage(hashed.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = stage(skewed_join(hashed, buckets, "bucket", sizes=buckets).select("bucket", "node", "least", "size"), "members")
+    pairs = stage(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    first = stage(_alike(pairs, nodes, percent), "pairs")
+    links = stage(_verified(first, docs, nodes, percent), "links")
     labels = components(links)
-    clusters = stage(_clusters(members, labels, links, groups), "clusters")
-    if not clusters.isEmpty():
-        links = links.unionByName(stage(_exact_links(clusters, docs, groups, percent), "links"))
-        labels = components(links)
-    classes = groups.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("component", "node").alias("component"))
-    linked = signed.join(classes, "text_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    opened = stage(_open_nodes(members, labels, nodes, percent), "open")
+    if not opened.isEmpty():
+        more = stage(_exact_pairs(opened, docs, nodes, percent), "pairs")
+        if not more.isEmpty():
+            labels = components(links.unionByName(stage(_verified(more, docs, nodes, percent), "links")))
+    # of a component: the least doc_id of its texts
+    joined = stage(labels.join(nodes.select("node", "doc_id", "text_key"), "node").select("component", "doc_id", "text_key"), "joined")
+    tops = labels.select("component").distinct().join(nodes.select(F.col("node").alias("component"), "doc_id", "text_key"), "component")
+    joined = joined.unionByName(tops)
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = nodes.select("text_key", "doc_id").join(joined.join(least, "component").select("text_key", "component_id"), "text_key", "left")
+    linked = signed.join(classes.select("text_key", F.coalesce("component_id", "doc_id").alias("component_id")), "text_key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose document stands for its component; of rows that repeat a doc_id, one."""
     told = stage(near_duplicates(docs, percent), "near-duplicates")
     gone = told.where("not kept and doc_id is not null").select("doc_id").distinct()

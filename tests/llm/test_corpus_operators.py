@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import ans, components, line_dedup, media, mixing, near_dups, packing, queries
+from quillspark.llm import ans, common, components, line_dedup, media, mixing, near_dups, packing, queries
 from quillspark.llm.token_ids import ChunkEncoder, tokenizer_path
 
 ODD = [None, "", " ", "\n", "a", "é ☃ 日本語 \U0001f600", "x " * 3000, "a\n\n\nb", "\t tab \x0b"]
@@ -197,20 +197,45 @@ def test_near_duplicates_on_the_corpus(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_large_unlike_buckets(spark, docs, monkeypatch):
-    """Many texts that share bands without being near: tiles compare them, none is missed."""
+@pytest.mark.parametrize("percent", [85, 80, 60])
+def test_large_unlike_buckets(spark, docs, monkeypatch, percent):
+    """Many texts that share bands without being near, hot keys and small tiles: none is missed."""
     monkeypatch.setattr(near_dups, "TILE", 8)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(100)]
     rows = []
-    for _ in range(70):
+    for k in range(70):
         words = list(base)
-        for _ in range(4):
-            words[rng.randrange(100)] = f"n{rng.randint(0, 99999)}"
+        for _ in range(k % 6):
+            words[rng.randrange(100)] = f"n{rng.randint(0, 99999 if k % 2 else 5)}"
         rows.append(" ".join(words))
-    rows = list(enumerate(rows))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs(rows)).collect()}
-    assert got == linked(rows)
+    # chains of small steps, whose ends are far apart
+    for k in range(40):
+        rows.append(" ".join([f"c{i}" for i in range(2 * k)] + base[2 * k :]))
+    # a passage that all share, and parts of their own
+    rows += [" ".join([*base[:60], *(f"p{k}x{i}" for i in range(12 + k % 3))]) for k in range(60)]
+    rows = [(7 * i, t) for i, t in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs(rows), percent).collect()}
+    assert got == linked(rows, percent)
+
+
+def test_banding():
+    assert near_dups.banding(85) == (26, 5)
+    for percent in range(1, 100):
+        bands, rows = near_dups.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_dups.MISS
+        assert rows == 1 or bands * rows <= near_dups.MINIMA
+
+
+def test_near_duplicates_with_large_and_repeated_ids(spark, docs):
+    top = 2**63 - 1
+    text = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(4)]
+    rows = [(top, text[0]), (top - 1, text[0] + " x"), (-top - 1, text[1]), (5 * 10**18, text[1] + " y"), (5 * 10**18 + 1, text[2]), (9, text[0]), (9, text[1]), (9, text[3])]
+    out = near_dups.near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted([(top, 9), (top - 1, 9), (-top - 1, -top - 1), (5 * 10**18, -top - 1), (5 * 10**18 + 1, 5 * 10**18 + 1), (9, 9), (9, -top - 1), (9, 9)])
+    edges = spark.createDataFrame([(top, top - 1), (top - 1, -top - 1), (4 * 10**18, 5 * 10**18), (None, 3)], "a long, b long")
+    assert {(r.node, r.component) for r in components.components(edges).collect()} == {(top, -top - 1), (top - 1, -top - 1), (5 * 10**18, 4 * 10**18)}
 
 
 def test_near_duplicates_edges(spark, docs):
