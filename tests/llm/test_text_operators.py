@@ -1,5 +1,6 @@
 """Pages, token counts, quality scores and rules, against brute force, other libraries and held-out labels."""
 
+import json
 import random
 
 import numpy as np
@@ -48,6 +49,137 @@ def test_template_that_outweighs_the_pages(spark, shared):
     assert {r.page_id: r.text for r in out} == {i: f"Body of page {i}{' says more' * i}." for i in range(12)}
 
 
+def wrapper_of(htmls):
+    """A site's wrapper in plain Python."""
+    trees = [wrappers.parse(t) for t in htmls]
+    plain = wrappers.to_json(wrappers.folded(trees[0]), wrappers.content_hash(trees[0]))
+    like, n, counts = wrappers.pattern(plain), 0, {}
+    for tree in trees:
+        if wrappers.content_hash(tree) == like.content:
+            continue
+        n += 1
+        fold = wrappers.folded(tree)
+        wrappers.align(fold, like)
+        for node, what, k in wrappers.observe(fold, like):
+            counts[node, what] = counts.get((node, what), 0) + k
+    kept = [[node, what, k] for (node, what), k in counts.items() if n >= wrappers.EVIDENCE and (what < 0 or k >= wrappers.CONSTANT * n)]
+    return wrappers._wrapper(json.dumps({"pattern": plain, "counts": kept}))
+
+
+def varied(i, marked):
+    """A page whose menu, notice, sidebar and footer differ from page to page."""
+    rng = random.Random(i)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+
+    title, paragraphs = words(5), [words(rng.randint(8, 60)) for _ in range(rng.randint(2, 6))]
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    menu = "".join(f"<li><a href=/{words(1)}>{words(2)}</a></li>" for _ in range(6))
+    part = {"article": f"<article>{body}</article>", "div": f"<div class=x9><div class=y1>{body}</div></div>", "table": f"<table class=t><tr><td class=l><ul>{menu}</ul><td class=r><div>{body}</div></table>"}[marked]
+    page = f"<html><body><div class=q1><ul>{menu}</ul></div><div class=q2>{words(12)}</div>{part}<div class=q3><p>{words(6)}</p></div><div class=q4>&copy; {words(4)}</div></body></html>"
+    return page, "\n".join([title, *paragraphs])
+
+
+@pytest.fixture
+def no_roles(monkeypatch):
+    for name in ("DROP_TAGS", "DROP_ROLES", "DROP_WORDS", "HEADER_TAGS", "HEADER_WORDS", "MAIN_TAGS", "MAIN_WORDS"):
+        monkeypatch.setattr(wrappers, name, frozenset())
+
+
+@pytest.mark.parametrize("marked", ["article", "div"])
+def test_the_wrapper_alone_finds_the_article(no_roles, marked):
+    """Menus, notices, side parts and footers vary, and no role says what they are: the site's pages together tell."""
+    pages = [varied(i, marked) for i in range(30)]
+    wrapper = wrapper_of([t for t, _ in pages])
+    assert [wrappers.extract(wrappers.parse(t), wrapper) for t, _ in pages] == [wanted for _, wanted in pages]
+    assert all(wrappers.extract(wrappers.parse(t)) != wanted for t, wanted in pages)
+
+
+def test_the_wrapper_alone_on_the_synthetic_pages(spark, no_roles):
+    """Of the hosts with pages enough, without any role: the articles, as a regular expression finds them."""
+    import html
+    import re
+
+    hosts = {}
+    for r in spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/pages.parquet").orderBy("page_id").collect():
+        hosts.setdefault(re.match(r"\w+://([^/?#]*)", r.url)[1], []).append(r.html)
+    n = good = 0
+    for htmls in hosts.values():
+        wrapper = wrapper_of(htmls)
+        for t in htmls if len(htmls) > wrappers.EVIDENCE + 2 else ():
+            article = re.search(r"<article>(.*?)</article>", t, re.S)[1]
+            blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?p>|</?h1>", article)]
+            n, good = n + 1, good + (wrappers.extract(wrappers.parse(t), wrapper) == "\n".join(b for b in blocks if b))
+    assert n > 50 and good >= 0.98 * n, (n, good)
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ('<div class="post-share-related article"><p>Main text</div>', "Main text"),
+        ('<div id="main-alert-content"><p>Main text</div>', "Main text"),
+        ('<div id="content-with-sidebar"><p>Main text</p><div class="left-sidebar">side</div></div>', "Main text"),
+        ("<body><form><p>Main text of a page in one form.</p><div class=ad>buy</div><input></form>", "Main text of a page in one form."),
+        ('<div class=story><p>Main text</p><section class="article-comments"><p>reader</p></section></div>', "Main text"),
+        ("<noscript>" * 2000 + "x", ""),
+        ("<noscript><p>turn it on</noscript><p>Main", "Main"),
+        ("<p hidden>secret</p><p>Main", "Main"),
+        ("<nav>only a menu</nav>", ""),
+        ("<div>" * 50_000, ""),
+    ],
+)
+def test_roles_break_ties_only(page, wanted):
+    assert wrappers.extract(wrappers.parse(page)) == wanted
+
+
+def test_layouts_have_patterns_of_their_own(spark):
+    """Two layouts on one host, the rarer one not the first: constants of both go."""
+    rows = [(i, f"http://h.x/{i}", f"<body><div class=a><p>Fixed of one</p></div><div class=b><p>Text {i} of one says {i * 3}</p></div>") for i in range(0, 60, 2)]
+    rows += [(i, f"http://h.x/{i}", f"<body><section class=c><div class=d><p>Fixed of two</p></div><p>Text {i} of two says {i * 3}</p></section>") for i in range(1, 30, 2)]
+    rows += [(99, "http://h.x/99", "<body><section class=e><p>A layout of its own</p></section>")]
+    out = {r.page_id: r.text for r in wrappers.main_text(pages_frame(spark, rows)).collect()}
+    assert out == {i: "A layout of its own" if i == 99 else f"Text {i} of {'two' if i % 2 else 'one'} says {i * 3}" for i, *_ in rows}
+
+
+def test_alignment_equals_brute_force():
+    """On random small trees: the best of all mappings that keep order and parents."""
+    from functools import cache
+    from itertools import combinations
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "ul", "main", "nav", "aside"], k=rng.randint(0, 5)))
+
+    @cache
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+        most = 0
+        for n in range(1, min(len(a.kids), len(b.kids)) + 1):
+            for x in combinations(a.kids, n):
+                for y in combinations(b.kids, n):
+                    parts = [best(p, q) for p, q in zip(x, y, strict=True)]
+                    if all(parts):
+                        most = max(most, sum(parts))
+        return most + 1
+
+    for _ in range(60):
+        a = wrappers.folded(wrappers.parse(tree(2)))
+        b = wrappers.pattern(wrappers.to_json(wrappers.folded(wrappers.parse(tree(2)))))
+        assert wrappers.align(a, b) == best(a, b)
+        numbered, todo = 0, [(a, None)]
+        while todo:
+            f, above = todo.pop()
+            if f.number >= 0:
+                numbered += 1
+                assert b.every[f.number].label == f.label
+                assert above is None or b.every[f.number] in b.every[above].kids
+            todo += [(k, f.number) for k in f.kids]
+        assert numbered == best(a, b)
+
+
 def test_alignment():
     a = wrappers.folded(wrappers.parse("<div><h1>x</h1><p>1</p><p>2</p><ul><li>a<li>b</ul></div>"))
     b = wrappers.pattern(wrappers.to_json(wrappers.folded(wrappers.parse("<div><h1>y</h1><p>1</p><ul><li>a</ul><hr></div>"))))
