@@ -5,12 +5,13 @@ lower case; a text of fewer words is one shingle). Universal hash functions give
 make buckets. How many bands of how many minima there are follows from the similarity asked for, so that a pair
 at that similarity is missed with probability MISS at most. Texts with equal words are one node from the start.
 
-Links inside a bucket: first all members against the least one, by signature, then on full sets. Where a bucket
-still holds more than one component, its members that agree with one of another component by signature are open, and
-so are all members of a bucket of more than TILE. Open nodes are joined exactly: in the order of rising shingle
-counts, two sets of the similarity share one of their first shingles, so passages that many texts share are
-never met on. Texts that meet there and agree by signature and size are compared on full sets. No bucket is dropped
-or capped; shingles on which more than TILE open texts meet are compared in tiles.
+Links inside a bucket: first all members against the least one, by signature, then on full sets. Where members of a
+bucket are still in several components, it is found which components alike signatures connect: all members against
+each other in a bucket of at most TILE; those of larger buckets only where they share one of the first shingles of their
+sets. In the order of rising counts, two sets of the similarity do share one, so the passages that many texts have
+in common bring nobody together. That makes clusters, each text in one at most; in each cluster, tiles of bounded
+size compare full sets of all texts of unlike components. A tile gives a spanning forest, not all its pairs. No bucket is
+dropped or capped. A cluster of n texts that are almost similar enough, but not, costs n / TILE copies of each.
 
 Null and blank texts have an empty set, are linked with nothing and stay. A row without doc_id is linked with
 nothing and stays (component null). Rows that repeat a doc_id are one document if their texts are equal;
@@ -37,9 +38,9 @@ SHINGLE, PERCENT = 5, 85
 MISS, MINIMA = 2.5e-7, 135
 #: Standard deviations below the similarity down to which signatures may agree: about one pair in a million agrees less.
 DEVIATIONS = 5.4
-#: Members of a group that are compared with each other in one go; identifiers up to which they are broadcast (24 bytes each).
-TILE, BROADCAST_ROWS = 256, 100_000
-#: Counters of open shingles: they only order shingles, so shingles may share one.
+#: Rows and shingles of a tile on each side; identifiers up to which they are broadcast (24 bytes each).
+TILE, TILE_SHINGLES, BROADCAST_ROWS = 256, 1 << 19, 100_000
+#: Counters of shingles: they only order shingles, so shingles may share one.
 COUNTERS = 1 << 20
 
 SIGNATURES = "doc_id long, n_shingles long, text_key binary, signature binary"
@@ -225,46 +226,124 @@ def _grouped(rows: Iterator, keys: int, text: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _agreeing(rows: list[tuple], n: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of rows (..., node, component, n_shingles, signature): each with the later ones of other components that may be linked with it."""
-    part = np.unique([r[-3] for r in rows], return_inverse=True)[1]
-    if part.max() == 0:
-        return
-    sizes = np.array([r[-2] for r in rows])
-    signature = np.frombuffer(b"".join(r[-1] for r in rows), np.uint32).reshape(-1, n)
-    for k in range(len(rows) - 1):
-        small, large = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
-        rest = k + 1 + np.flatnonzero((part[k + 1 :] != part[k]) & (100 * small >= percent * large))
-        if len(rest):
-            rest = rest[(signature[rest] == signature[k]).sum(1) >= least * n]
-            if len(rest):
-                yield k, rest
+def _tiled(groups: DataFrame) -> DataFrame:
+    """Rows of groups (node, tiles, ...) in each tile (i, j), i <= j, of their group that their own number is part of.
 
+    A row is in as many tiles as its group has numbers; each pair of rows meets in one tile at least."""
+    dealt = groups.withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "tiles")
 
-def _open_nodes(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node, component: of what may be linked with another component of a bucket."""
-    n, least = minima_of(percent), least_agreement(percent)
-    of = F.coalesce("component", "node").alias("component")
-    told = stage(members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", of), "told")
-    mixed = told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    few = told.where(F.col("size") <= TILE).join(mixed, "bucket").join(nodes.select("node", "n_shingles", "signature"), "node")
+
+def _edges(tiles: DataFrame, key: str, value: str, find) -> DataFrame:
+    """What find (rows of a tile: pairs) says of all tiles, as rows a, b."""
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for group in _grouped(rows, 1, 4):
-            found = np.zeros(len(group), bool)
-            for k, rest in _agreeing(group, n, least, percent):
-                found[k] = found[rest] = True
-            own = [group[i][1:3] for i in np.flatnonzero(found).tolist()]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own, strict=True)], ["node", "component"])
+        out: list[tuple[int, int]] = []
+        for tile in _grouped(rows, 3, 5):
+            out += find(tile)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    ordered = tiles.select(key, "i", "j", "node", "component", value).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _joined(part: np.ndarray, k: int, others: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links row k with others, one for each part they are in, and makes these parts one."""
+    for x in others.tolist():
+        if part[x] != part[k]:
+            part[part == part[x]] = part[k]
+            yield int(node[k]), int(node[x])
+
+
+def _forest(n: int, least: float):
+    """Pairs (of _, _, _, node, component, signature) that agree in enough minima: enough of them to hold together all that such pairs connect."""
 
-    ordered = few.select("bucket", "node", "component", "n_shingles", "signature").repartition("bucket").sortWithinPartitions("bucket", "node")
-    agreeing = ordered.mapInArrow(run, "node long, component long")
-    many = told.where(F.col("size") > TILE)
-    large = skewed_join(many, mixed, "bucket", many).select("node", "component")
-    return agreeing.unionByName(large).distinct()
+    def find(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        part = np.unique([r[4] for r in rows], return_inverse=True)[1]
+        if part.max() == 0:
+            return
+        node = np.array([r[3] for r in rows])
+        signature = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, n)
+        for k in range(len(rows) - 1):
+            rest = k + 1 + np.flatnonzero(part[k + 1 :] != part[k])
+            if len(rest):
+                same = (signature[rest] == signature[k]).sum(1)
+                yield from _joined(part, k, rest[same >= least * n], node)
+
+    return find
+
+
+def _exact(percent: int):
+    """Like _forest on (_, _, _, node, component, shingles), by the sets themselves."""
+
+    def find(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        part = np.unique([r[4] for r in rows], return_inverse=True)[1]
+        if part.max() == 0:
+            return
+        node = np.array([r[3] for r in rows])
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        sizes = np.array(list(map(len, sets)))
+        starts = np.cumsum(sizes) - sizes
+        dense = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(int(dense.max()) + 1, np.int32)
+        for k in range(len(rows) - 1):
+            small, large = np.minimum(sizes, sizes[k]), np.maximum(sizes, sizes[k])
+            open_ = (part != part[k]) & (100 * small >= percent * large)
+            open_[: k + 1] = False
+            rest = np.flatnonzero(open_)
+            if not len(rest):
+                continue
+            own = dense[starts[k] : starts[k] + sizes[k]]
+            mark[own] = 1
+            if 4 * len(rest) < len(rows):
+                both = np.array([int(mark[dense[starts[x] : starts[x] + sizes[x]]].sum()) for x in rest.tolist()])
+            else:
+                both = np.add.reduceat(mark[dense], starts)[rest]
+            mark[own] = 0
+            yield from _joined(part, k, rest[100 * both >= percent * (sizes[rest] + sizes[k] - both)], node)
+
+    return find
+
+
+def _clusters(members: DataFrame, labels: DataFrame, links: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """cluster, node, component: of clusters, by alike signatures, that hold more than one component."""
+    find = _forest(minima_of(percent), least_agreement(percent))
+    of = F.coalesce("component", "node").alias("component")
+    told = stage(members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "size", of), "told")
+    mixed = stage(told.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("size").alias("size")).where("low <> high").select("bucket", "size"), "mixed")
+    few = told.where(F.col("size") <= TILE).join(mixed.select("bucket"), "bucket").join(nodes.select("node", "signature"), "node")
+    forest = _edges(few.withColumns({"i": F.lit(0), "j": F.lit(0)}), "bucket", "signature", find)
+    large = mixed.where(F.col("size") > TILE)
+    if not large.isEmpty():
+        opened = stage(skewed_join(told.where(F.col("size") > TILE).drop("size"), large.select("bucket"), "bucket", sizes=large).select("node", "component").distinct(), "open")
+        met = stage(_first_shingles(_sets_of(opened.select("node"), docs, nodes), percent).join(opened, "node"), "first")
+        groups = stage(met.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "groups")
+        dealt = _tiled(skewed_join(met, groups.drop("size"), "shingle", sizes=groups))
+        forest = forest.unionByName(_edges(dealt.join(nodes.select("node", "signature"), "node"), "shingle", "signature", find))
+    forest = stage(forest, "forest")
+    if forest.isEmpty():
+        return forest.select(F.col("a").alias("cluster"), F.col("a").alias("node"), F.col("b").alias("component"))
+    wide = components(links.unionByName(forest))
+    both = wide.select(F.col("component").alias("cluster"), "node").unionByName(wide.select(F.col("component").alias("cluster"), F.col("component").alias("node")).distinct())
+    open_ = both.join(_ends(forest), "node").select("cluster").distinct()
+    return both.join(open_, "cluster").join(labels, "node", "left").select("cluster", "node", of)
+
+
+def _exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links between unlike components of a cluster: in tiles of at most about TILE_SHINGLES shingles and TILE rows a side."""
+    sized = clusters.join(nodes.select("node", "n_shingles"), "node")
+    tiles = F.greatest(F.ceil(F.sum("n_shingles") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles")
+    counts = stage(sized.groupBy("cluster").agg(tiles, F.count("*").alias("size")), "tiles")
+    dealt = skewed_join(clusters, counts.drop("size"), "cluster", sizes=counts).select("cluster", "node", "component", "tiles")
+    full = _tiled(dealt).join(_sets_of(clusters.select("node"), docs, nodes), "node")
+    return _edges(full, "cluster", "shingles", _exact(percent))
 
 
 def _counts(sets: DataFrame) -> np.ndarray:
@@ -308,38 +387,12 @@ def _first_shingles(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
 
 
-def _exact_pairs(opened: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open nodes (node, component) of unlike components that share a first shingle and agree by size and signature."""
-    n, least = minima_of(percent), least_agreement(percent)
-    met = stage(_first_shingles(_sets_of(opened.select("node"), docs, nodes), percent).join(opened, "node"), "first")
-    groups = met.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    dealt = skewed_join(met, groups, "shingle", met).withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
-    # a group of one tile is one; else each pair of rows meets in one tile at least
-    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def run(rows: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        out: list[tuple[int, int]] = []
-        for tile in _grouped(rows, 3, 6):
-            for k, rest in _agreeing(tile, n, least, percent):
-                out += [(min(tile[k][3], tile[i][3]), max(tile[k][3], tile[i][3])) for i in rest.tolist()]
-                if len(out) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    full = tiled.join(nodes.select("node", "n_shingles", "signature"), "node").select("shingle", "i", "j", "node", "component", "n_shingles", "signature")
-    return full.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     bands, rows = banding(percent)
     signed = stage(signatures(docs, percent), "signatures")
     able = signed.where("n_shingles > 0 and doc_id is not null")
-    texts = able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    texts = able.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("size"))
     nodes = stage(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("signature", i * (4 * rows) + 1, F.lit(4 * rows))))
     hashed = nodes.select("node", band.alias("band", "minima")).select("node", F.xxhash64("band", "minima").alias("bucket"))
@@ -349,21 +402,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = stage(_alike(pairs, nodes, percent), "pairs")
     links = stage(_verified(first, docs, nodes, percent), "links")
     labels = components(links)
-    opened = stage(_open_nodes(members, labels, nodes, percent), "open")
-    if not opened.isEmpty():
-        more = stage(_exact_pairs(opened, docs, nodes, percent), "pairs")
-        if not more.isEmpty():
-            labels = components(links.unionByName(stage(_verified(more, docs, nodes, percent), "links")))
+    clusters = stage(_clusters(members, labels, links, docs, nodes, percent), "clusters")
+    if not clusters.isEmpty():
+        labels = components(links.unionByName(stage(_exact_links(clusters, docs, nodes, percent), "links")))
     # of a component: the least doc_id of its texts
-    joined = stage(labels.join(nodes.select("node", "doc_id", "text_key"), "node").select("component", "doc_id", "text_key"), "joined")
-    tops = labels.select("component").distinct().join(nodes.select(F.col("node").alias("component"), "doc_id", "text_key"), "component")
-    joined = joined.unionByName(tops)
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = nodes.select("text_key", "doc_id").join(joined.join(least, "component").select("text_key", "component_id"), "text_key", "left")
-    linked = signed.join(classes.select("text_key", F.coalesce("component_id", "doc_id").alias("component_id")), "text_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own = nodes.select("node", "doc_id")
+    tops = labels.select("component").distinct().join(own.withColumnRenamed("node", "component"), "component")
+    least = labels.join(own, "node").select("component", "doc_id").unionByName(tops).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = labels.join(least, "component").select("node", "component_id").unionByName(least.select(F.col("component").alias("node"), "component_id"))
+    classes = nodes.join(of, "node", "left").select("text_key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    told = skewed_join(able.select("text_key", "doc_id", "n_shingles"), classes, "text_key", sizes=nodes).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return told.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
