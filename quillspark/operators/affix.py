@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.storage import stage
+
 RULES = "kind string, flag string, cross boolean, strip string, append string, cond string"
 
 
@@ -79,8 +81,9 @@ def munch(words: DataFrame, affixes: DataFrame, word: str = "word") -> DataFrame
     rows = words.select(F.col(word).alias("word")).distinct().where((w != F.upper(w)) | (w == F.lower(w)))
     first = F.substring("word", 1, 1)
     lower_first = first == F.lower(first)
-    # affix letters are at most a few: the ends of a word of those lengths are its keys
-    lengths = F.sequence(F.lit(0), F.least(F.lit(MAX_AFFIX), F.length("word") - 1))
+    # the ends of a word of the lengths that the rules add are its keys: as many as an affix file has lengths
+    added = sorted(r[0] for r in affixes.select(F.length("append")).distinct().collect())
+    lengths = F.filter(F.array(*[F.lit(n) for n in added]).cast("array<int>"), lambda n: n < F.length("word"))
     ends = rows.where(F.length("word") > 1).select("word", F.explode(lengths).alias("k")).select("word", "k", F.substring("word", F.length("word") - F.col("k") + 1, F.col("k")).alias("_key"))
     heads = rows.where(F.length("word") > 1).where(lower_first).select("word", F.explode(lengths).alias("k")).select("word", "k", F.substring("word", F.lit(1), F.col("k")).alias("_key"))
 
@@ -103,10 +106,6 @@ def munch(words: DataFrame, affixes: DataFrame, word: str = "word") -> DataFrame
     return out.unionByName(crossed).distinct()
 
 
-#: Letters that a rule adds at most.
-MAX_AFFIX = 12
-
-
 def affix_correct(words: DataFrame, dictionary: DataFrame, affixes: DataFrame, word: str = "word") -> DataFrame:
     """word, root, prefix, suffix where a dictionary entry (word, aff) has the flags that make the word; case is lowered first where needed."""
     tried = words.select(F.col(word).alias("word")).distinct()
@@ -200,30 +199,17 @@ def munch_list(words: DataFrame, affixes: DataFrame) -> DataFrame:
 def word_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component: the least node that each node of edges (a, b) is linked with, by repeated least neighbours.
 
-    Lineage is cut in the checkpoint folder of the session where there is one."""
+    Lineage is cut by tables in the shared folder."""
     both = edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"))
+    both = stage(both, "words")
+    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "words")
     for _ in range(rounds):
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         near = labels.join(around, labels["node"] == around["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         # and on to the component's own component: paths halve
         jump = near.join(labels.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "old")
-        new = _cut(jump)
+        new = stage(jump, "words")
         if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillspark-"))
-    from uuid import uuid4
-
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/words-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -32,33 +32,23 @@ def _blank_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:
 
 # URLs and addresses.
 
-_URL_RUN = re.compile(r'[^" \n\t]+')
-
-
-def _is_url(run: str) -> bool:
-    """Inside the run (not at its ends): an @, a slash after a dot or before another slash, or two separate dots."""
-    inner = run[1:-1]
-    if "@" in inner or "//" in run[1:]:
-        return "@" in inner or run.find("//", 1) < len(run) - 1
-    dot = inner.find(".")
-    if dot < 0:
-        return False
-    return "/" in inner[dot:] or re.search(r"\.[^.]+\.", inner) is not None
+#: A run is one character that may stand in a URL, any other one, and what follows up to a separator: so a word of one
+#: letter and the space behind it are one run with the next word.
+RUNS = r'[^" \n\t](?:(?s:.)[^" \n\t]*)?|[" \n\t]+'
+#: Inside a run, not at its ends: an @, two slashes, a slash after a dot, or two dots that no dot follows. No look-around.
+URL_SQL = r"^(?s:.)(?:(?s:.)*(?:@(?s:.)|//)|(?s:.)*\.(?:/(?s:.)|[^.](?s:.)*/(?s:.)|[^.](?s:.)*\.[^.]))"
+_URL_RUNS, _URL = re.compile(RUNS), re.compile(URL_SQL)
 
 
 def url(text: str) -> str:
-    return _blank_spans(text, (m.span() for m in _URL_RUN.finditer(text) if _is_url(m[0])))
+    return _blank_spans(text, (m.span() for m in _URL_RUNS.finditer(text) if _URL.match(m[0])))
 
 
 def url_expression(text: str | Column) -> Column:
     """The url filter as a column expression: equal words are kept, runs that hold a URL become spaces."""
     t = F.col(text) if isinstance(text, str) else text
-    runs = F.regexp_extract_all(t, F.lit(r'([^" \n\t]+|[" \n\t]+)'), 0)
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(URL_SQL), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "")
-
-
-#: The same rule as one regular expression without look-around, for SQL engines; runs contain no separators.
-URL_SQL = r'^[^" \n\t]([^" \n\t]*@[^" \n\t]+|[^" \n\t]*//[^" \n\t]*|[^" \n\t]*\.[^" \n\t]*/[^" \n\t]+|[^" \n\t]*\.[^." \n\t]+\.[^" \n\t]+)$'
+    runs = F.regexp_extract_all(t, F.lit(RUNS), 0)
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(URL_SQL), F.regexp_replace(x, r"[^\n]", " ")).otherwise(x)), "")
 
 
 # Quoted mail.
@@ -79,34 +69,86 @@ def email_expression(text: str | Column, quotes: str = ">|", margin: int = 10) -
 
 # SGML and HTML.
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!(?:[^>"']|"[^"]*"?|'[^']*'?)*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"?|'[^']*'?)*)>?|&(?:\#?\w+);?|<\?[^>]*>?""", re.S)
-_VALUE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+)""")
+_REFERENCE_TEXT = re.compile(r"&#?[A-Za-z0-9]*;?")
+_TAG_NAME = re.compile(r"[A-Za-z0-9]*")
+_GAP, _NAME_RUN, _UP_TO_EQUALS, _PLAIN_VALUE = re.compile(r"[ \t\n\r\f\v]*"), re.compile(r"[^ \t\n\r\f\v=>]+"), re.compile("[^=>]*"), re.compile(r"[^ \t\n\r\f\v>]*")
+_COMMENT_END = re.compile("--+>")
+_DECLARED = re.compile(r"""(?:[^>"']|"[^">]*"|'[^'>]*')*(?:["'][^>]*)?>?""")
+
+
+def _attributes(text: str, at: int, check: set[str]) -> tuple[int, list[tuple[int, int]]]:
+    """Where the tag ends whose attributes begin at at, and the spans of checked values."""
+    spans: list[tuple[int, int]] = []
+    while (at := _GAP.match(text, at).end()) < len(text) and text[at] != ">":
+        name = ""
+        if text[at] != "=":
+            m = _NAME_RUN.match(text, at)
+            name, at = m[0], m.end()
+        else:
+            at += 1
+        if text[at : at + 1].isspace() or not name:
+            # behind white space each character begins a name of its own, up to an equals sign
+            m = _UP_TO_EQUALS.match(text, at)
+            name, at = (m[0].split() or [name])[-1] if not m[0].strip() else m[0].rstrip()[-1:], m.end()
+        if text[at : at + 1] != "=":
+            continue
+        at = _GAP.match(text, at + 1).end()
+        quote, kept = text[at : at + 1], name.lower() in check
+        if quote in ("'", '"') and quote:
+            end = re.compile(rf"(?:\\.|[^\\{quote}])*", re.S).match(text, at + 1).end()
+            span, at = (at + 1, end), end + 1
+        else:
+            end = _PLAIN_VALUE.match(text, at).end()
+            span, at = (at, end), end
+        if kept:
+            spans.append(span)
+    return min(at + 1, len(text)), spans
 
 
 def sgml(text: str, skip: Iterable[str] = (), check: Iterable[str] = ()) -> str:
     """Markup, entities and the content of skip elements become blank; values of check attributes stay."""
     skip, check = {s.lower() for s in skip}, {c.lower() for c in check}
-    out, at, hidden, depth = [], 0, "", 0
-    for m in _MARKUP.finditer(text):
-        out.append(blank(text[at : m.start()]) if hidden else text[at : m.start()])
-        at = m.end()
-        name, rest = (m[2] or "").lower(), m[3] or ""
-        shown = blank(m[0])
-        if name and not m[1] and not hidden and check:
-            for v in _VALUE.finditer(rest):
-                if v[1].lower() in check:
-                    a, b = m.start(3) - m.start() + v.start(2), m.start(3) - m.start() + v.end(2)
-                    shown = shown[:a] + re.sub(r"[\"']", " ", m[0][a:b]) + shown[b:]
-        out.append(shown)
-        if name in skip:
-            if m[1]:
-                if hidden == name:
-                    depth -= 1
-                    hidden = hidden if depth else ""
-            elif not rest.rstrip().endswith("/") and hidden in ("", name):
-                hidden, depth = name, depth + 1
-    out.append(blank(text[at:]) if hidden else text[at:])
-    return "".join(out)
+    kept: list[tuple[int, int]] = []
+    at, hidden, depth = 0, "", 0
+    markup = re.compile("[<&]")
+    while at < len(text):
+        m = markup.search(text, at)
+        start = m.start() if m else len(text)
+        if not hidden:
+            kept.append((at, start))
+        if not m:
+            break
+        if m[0] == "&":
+            at = _REFERENCE_TEXT.match(text, start).end()
+            continue
+        at = _TAG_NAME.match(text, start + 1).end()
+        name, sign = text[start + 1 : at].lower(), text[at : at + 1]
+        if sign == "/":
+            end = _TAG_NAME.match(text, at + 1).end()
+            if hidden and end < len(text) and text[at + 1 : end].lower() == hidden:
+                depth -= 1
+                hidden = hidden if depth else ""
+            at = text.find(">", end) + 1 or len(text)
+        elif sign == "!":
+            if text.startswith("--", at + 1):
+                m = _COMMENT_END.search(text, at + 2)
+                at = m.end() if m else len(text)
+            else:
+                at = _DECLARED.match(text, at + 1).end()
+        else:
+            at, spans = _attributes(text, at, check)
+            kept += spans
+            if text[at - 1] != ">" or text[at - 2] == "/":
+                continue
+            if name == hidden:
+                depth += bool(hidden)
+            elif not hidden and name in skip:
+                hidden, depth = name, 1
+    hide, at = [], 0
+    for a, b in sorted(kept):
+        hide.append((at, a))
+        at = b
+    return _blank_spans(text, [*hide, (at, len(text))])
 
 
 #: Elements and attributes of HTML that count (fixed values).
@@ -149,47 +191,72 @@ TEX_COMMANDS = dict(
         "documentstyle op,cite p,nocite p,psfig p,selectlanguage p,includegraphics op,bibitem op,geometry p"
     ).split(",")
 )
-_TEX = re.compile(r"(?P<comment>(?<!\\)%[^\n]*)|\\(?P<name>@?[A-Za-z]+\*?|[^A-Za-z])|(?P<open>[{\[])|(?P<close>[}\]])|(?P<text>[^\\%{}\[\]]+|%|\\)")
+_SPACE = " \t\n\r\f\v"
+_TEX_NAME = re.compile(r"@?[A-Za-z]*")
 
 
 def tex(text: str, commands: dict[str, str] | None = None, check_comments: bool = False) -> str:
-    """Commands, braces, comments and the parameters that commands name as no prose become blank."""
+    """Commands, braces, comments and the parameters that commands name as no prose become blank.
+
+    Each open command has a place (between its arguments, in a parameter or in an option) and the letters of the
+    arguments that may still follow; a command without any gives way at the next character."""
     commands = TEX_COMMANDS if commands is None else commands
-    out: list[str] = []
-    # open groups: (closing bracket, whether its text is hidden, what the command around it still expects)
-    groups: list[tuple[str, bool, str]] = []
-    expects = ""
-    for m in _TEX.finditer(text):
-        hidden = bool(groups) and groups[-1][1]
-        if m["comment"] is not None:
-            out.append(m[0] if check_comments and not hidden else blank(m[0]))
-        elif m["name"] is not None:
-            out.append(blank(m[0]))
-            expects = commands.get(m["name"].rstrip("*"), "")
-        elif m["open"]:
-            square = m["open"] == "["
-            if not square:
-                expects = expects.lstrip("oO")
-            wants = expects[:1]
-            if square and wants not in ("o", "O"):
-                out.append(" " if hidden else m[0])
-                expects = ""
+    hide: list[tuple[int, int]] = []
+    open_: list[list[str]] = [["parameter", "P"]]
+
+    def leave() -> None:
+        open_.pop()
+        if not open_:
+            open_.append(["parameter", "P"])
+
+    at = 0
+    while at < len(text):
+        c = text[at]
+        if c == "%":
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            if not check_comments:
+                hide.append((at, end))
+            at = end
+            continue
+        if c == "{":
+            open_[-1][1] = open_[-1][1].lstrip("oO")
+        if not open_[-1][1]:
+            leave()
+        shown = False
+        if c == "{":
+            if open_[-1][0] != "between" or not open_[-1][1]:
+                open_.append(["parameter", "P"])
+            open_[-1][0] = "parameter"
+        elif open_[-1][0] == "between" and (c == "[" or c in _SPACE):
+            if c == "[":
+                open_[-1][0] = "option"
+        else:
+            if open_[-1][0] == "between":
+                leave()
+            place, wants = open_[-1]
+            if c == "\\":
+                end = _TEX_NAME.match(text, at + 1).end()
+                if end == at + 1:  # one character that is no letter
+                    end = min(at + 2, len(text))
+                    name = text[at + 1 : end]
+                else:
+                    name = text[at + 1 : end]
+                    # white space is passed over, whatever follows; so is a star
+                    rest = text[end : end + 1]
+                    end = end + 1 if rest == "*" else end + len(text[end:]) - len(text[end:].lstrip(_SPACE)) if rest and rest in _SPACE else end
+                open_.append(["between", commands.get(name, "")])
+                hide.append((at, end))
+                at = end
                 continue
-            groups.append(("]" if square else "}", hidden or wants in ("o", "p"), expects[1:]))
-            expects = ""
-            out.append(" ")
-        elif m["close"]:
-            if groups and groups[-1][0] == m["close"]:
-                expects = groups.pop()[2]
-                out.append(" ")
+            if place != "between" and c == ("}" if place == "parameter" else "]"):
+                open_[-1] = ["between", wants[1:] if wants[:1] in (("P", "p") if place == "parameter" else ("O", "o")) else wants]
             else:
-                out.append(" " if hidden or m["close"] == "}" else m[0])
-                expects = ""
-        else:
-            if m[0].strip():
-                expects = ""
-            out.append(blank(m[0]) if hidden or m[0] == "\\" else m[0])
-    return "".join(out)
+                shown = wants[:1] != ("p" if place == "parameter" else "o") or place == "between"
+        if not shown:
+            hide.append((at, at + 1))
+        at += 1
+    return _blank_spans(text, hide)
 
 
 # Texinfo.
@@ -198,95 +265,130 @@ def tex(text: str, commands: dict[str, str] | None = None, check_comments: bool
 TEXINFO_IGNORE = tuple("setfilename syncodeindex documentencoding vskip code kbd key samp verb var env file command option url uref email verbatiminclude xref ref pxref inforef c".split())
 TEXINFO_ENVIRONMENTS = tuple("example smallexample verbatim lisp smalllisp small display smalldisplay format smallformat".split())
 _TABLES = ("table", "ftable", "vtable")
-_TEXINFO = re.compile(r"@end[ \t]+(?P<end>[a-zA-Z]+)|@(?P<name>[a-zA-Z]+)(?P<brace>\{?)|@(?P<escape>[^a-zA-Z])|\\input(?P<input>[^\n]*)|(?P<open>\{)|(?P<close>\})|(?P<line>\n)|(?P<text>[^@\\{}\n]+|.)", re.S)
+_LETTERS = re.compile("[A-Za-z]*")
 
 
 def texinfo(text: str, ignore: Iterable[str] = TEXINFO_IGNORE, environments: Iterable[str] = TEXINFO_ENVIRONMENTS) -> str:
-    """Commands become blank, and with them the parameters and environments that are no prose."""
+    """Commands become blank, and with them the parameters and environments that are no prose; braces stay."""
     ignore, environments = set(ignore), set(environments)
-    out: list[str] = []
-    groups: list[bool] = []
-    line_hidden = False
-    inside, depth = "", 0
-    tables: list[list] = []
-    starts_table = False
-    for m in _TEXINFO.finditer(text):
-        hidden = line_hidden or bool(inside) or any(groups)
-        name = m["name"]
-        if m["end"]:
-            out.append(blank(m[0]))
-            if inside:
-                if m["end"] == inside:
-                    depth -= 1
-                    inside = inside if depth else ""
-            elif tables and tables[-1][0] == m["end"]:
-                tables.pop()
-        elif name:
-            out.append(blank(m[0]) if not m["brace"] else blank(m[0][:-1]) + ("{" if not hidden else "{"))
-            if inside:
-                depth += name == inside
-                if m["brace"]:
-                    groups.append(False)
+    hide: list[tuple[int, int]] = []
+    groups: list[bool] = []  # open commands: whether they hide
+    tables: list[list] = []  # open tables: name, whether items hide
+    environment, depth = "", 0
+    in_line = seen_input = False
+    last = ""
+    at = 0
+    while at < len(text):
+        c = text[at]
+        if c == " ":
+            at += 1
+        elif c == "@":
+            end = _LETTERS.match(text, at + 1).end()
+            if end == at + 1:
+                hide.append((at, at + 2))
+                at += 2
                 continue
-            if starts_table:  # @table @code: the command that formats items
-                tables[-1][1] = name in ignore
-                starts_table = False
+            formats_items = last in _TABLES and bool(tables) and tables[-1][0] == last
+            last = text[at + 1 : end]
+            hide.append((at, end))
+            at = end
+            if depth:
                 continue
-            no_prose = name in ignore or name in ("item", "itemx") and bool(tables) and tables[-1][1]
-            if m["brace"]:
-                groups.append(no_prose)
-            elif name in environments:
-                inside, depth = name, 1
-            elif name.endswith("table"):
-                tables.append([name, False])
-                starts_table = name in _TABLES
+            if formats_items:
+                tables[-1][1] |= last in ignore
+                continue
+            if text[at : at + 1] == "{":
+                at += 1
             else:
-                line_hidden = line_hidden or no_prose
-        elif m["escape"] is not None:
-            out.append(blank(m[0]))
-        elif m["input"] is not None:
-            out.append(blank(m[0]))
-        elif m["open"]:
-            groups.append(False)
-            out.append(m[0])
-        elif m["close"]:
-            if groups:
-                groups.pop()
-            out.append(m[0])
-        elif m["line"]:
-            line_hidden = starts_table = False
-            out.append(m[0])
+                in_line = True
+            groups.append(last in ignore or last in ("item", "itemx") and bool(tables) and tables[-1][1])
+            if last in environments:
+                environment, depth = last, 1
+            elif last.endswith("table"):
+                tables.append([last, False])
+        elif c == "\\" and not seen_input and text.startswith("input", at + 1):
+            hide.append((at, at + 6))
+            at, last = at + 6, ""
+            groups.append(True)
+            in_line = seen_input = True
+        elif last == "end":
+            end = _LETTERS.match(text, at).end()
+            name, last = text[at:end], ""
+            hide.append((at, end))
+            at = end
+            if depth and name == environment:
+                depth, environment = 0, ""
+            elif tables and name == tables[-1][0]:
+                tables.pop()
         else:
-            out.append(blank(m[0]) if hidden else m[0])
-    return "".join(out)
+            last = ""
+            if c == "{":
+                groups.append(False)
+            elif c == "}":
+                if groups:
+                    groups.pop()
+            elif c == "\n" and in_line:
+                groups, in_line = [], False
+            elif depth or any(groups):
+                hide.append((at, at + 1))
+            at += 1
+    return _blank_spans(text, hide)
 
 
 # nroff.
 
 #: Requests whose arguments are no prose (fixed values).
 NROFF_IGNORE = ("ds", "de", "nr", "do", "so")
-_NROFF_REQUEST = re.compile(r"^([.'])([ \t]*)(?:(if)[ \t]+[tn]?|(\S{2})(\S*))?", re.M)
-_NROFF_ESCAPE = re.compile(r"\\(?:f(?:\(..|.)|[*n](?:\(..|\[[^\]\n]*\]?|.)|s[-+(]*\d{1,2}|\(..|\[[^\]\n]*\]?|\"[^\n]*|\$\d*|\\|.)?")
+#: After a backslash: what goes with it; a backslash before any other character goes alone.
+_NROFF_ESCAPE = re.compile(
+    r"\\+(?:f(?:\((?s:.){0,2}|(?s:.))?|[*n](?:\((?s:.){0,2}|\[[^\]\n]*[\]\n]?)?|s(?:[+-](?s:.)?|(?s:.))?[0-9]?|\((?s:.){0,2}|\[[^\]\n]*[\]\n]?|\"|\$[0-9]*)?"
+)
+_REGISTER = re.compile(r"\\+[*n]\Z")
+_WHITE = re.compile(r"[ \t\n\r\f\v]*")
+_REQUEST_NAME = re.compile(r"[\n.]|(?s:.)(?:[\n.]|(?s:.))?")
+_ARGUMENT = re.compile(r"[^ \t\n\r\f\v]*[ \t\n\r\f\v]?")
+_NROFF_MARK = re.compile(r"\\|[.']")
 
 
 def nroff(text: str) -> str:
-    """Requests, their names, escapes and the arguments of NROFF_IGNORE become blank; line ends stay."""
-
-    def request(m: re.Match) -> str:
-        return blank(m[0])
-
-    out = []
-    for line in text.split("\n"):
-        m = _NROFF_REQUEST.match(line)
-        if m and m[4] in NROFF_IGNORE:
-            # the request's first argument is a name or number: it goes, what follows stays
-            rest = re.compile(r"[ \t]+\S+").match(line, m.end())
-            end = rest.end() if rest else m.end()
-            line = " " * end + line[end:]
-        elif m:
-            line = request(m) + line[m.end() :]
-        out.append(_NROFF_ESCAPE.sub(lambda x: blank(x[0]), line))
-    return "\n".join(out)
+    """Requests, their names, escapes and the first argument of NROFF_IGNORE become blank; line ends stay.
+
+    A request starts at the beginning of a line, or in the arguments of another one at any dot or apostrophe."""
+    hide: list[tuple[int, int]] = []
+    at = 0
+    request_until = 0  # in the arguments of a request up to here
+    while m := _NROFF_MARK.search(text, at):
+        start = m.start()
+        if m[0] == "\\":
+            m = _NROFF_ESCAPE.match(text, start)
+            hide.append((start, m.end()))
+            at = m.end()
+            # the character behind stays and means nothing else
+            if m[0].strip("\\") == "" or _REGISTER.match(m[0]):
+                at += 1
+            continue
+        first = start == 0 or text[start - 1] == "\n"
+        if not first and start >= request_until:
+            at = start + 1
+            continue
+        hide.append((start, start + 1))
+        at = _WHITE.match(text, start + 1).end() if first else start + 1
+        m = _REQUEST_NAME.match(text, at)
+        if not m:
+            break
+        hide.append(m.span())
+        at, name = m.end(), m[0]
+        if len(name) == 2 and name[1] not in "\n." and name[0] not in "\n.":
+            if name == "if":
+                end = _WHITE.match(text, at).end()
+                end += text[end : end + 1] in ("t", "n")
+            else:
+                end = _ARGUMENT.match(text, _WHITE.match(text, at).end() if name in NROFF_IGNORE else at).end()
+            hide.append((at, end))
+            at = end
+            line_end = text.find("\n", max(at - 1, 0))
+            request_until = len(text) if line_end < 0 else line_end
+    return _blank_spans(text, hide)
 
 
 # Markdown.

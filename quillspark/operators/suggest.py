@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.distance import FAR, STANDARD_ROWS, ngram_score, osa_distance, typo_distance
 from quillspark.functions.language import ENGLISH, Language, case_pattern, clean, fix_case, soundslike, split_camel, stripped
 from quillspark.operators.check import correct
+from quillspark.storage import stage
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,11 @@ class Mode:
     split_chars: tuple[str, ...] = (" ", "-")
     least: int = 3
 
+    @property
+    def searches(self) -> tuple[tuple[str, int], ...]:
+        """The searches that run late, and how hard a word has to be for each."""
+        return tuple(x for x, wanted in ((("scan", 1), 2 in self.scans), (("ngrams", self.ngram_threshold), self.ngrams)) if wanted)
+
     @property
     def word_weight(self) -> int:
         return 100 - self.soundslike_weight
@@ -80,7 +86,8 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b) of distinct keys of left (a) and right (b) that are at most edits insertions, deletions, substitutions or swaps apart.
 
     Both sides are spelled out to what deletions leave; equal leftovers make a pair, an unweighted distance of twice
-    the edits (a swap counts 2 there) confirms it."""
+    the edits (a swap counts 2 there) confirms it. How many keys share a leftover has a bound of its own, whatever the
+    data's size: letters may be put in at that many places only."""
     a = left.select("a").distinct().select("a", F.explode(deletions(F.col("a"), edits)).alias("k"))
     b = right.select("b").distinct().select("b", F.explode(deletions(F.col("b"), edits)).alias("k"))
     return a.join(b, "k").select("a", "b").distinct().where(F.abs(F.length("a") - F.length("b")) <= edits)
@@ -187,35 +194,33 @@ def listed_replacements(q: DataFrame, pairs: DataFrame) -> DataFrame:
     return q.select("q", "clean").join(pairs.select(clean("mis").alias("clean"), F.col("cor").alias("cand")), "clean").select("q", "cand").distinct()
 
 
-def candidates(q: DataFrame, dictionary: DataFrame, mode: Mode, table: DataFrame | None = None, pairs: DataFrame | None = None, camel: bool = False, language: Language = ENGLISH) -> DataFrame:
-    """q, cand, given (a score that is not computed), kind, counted. Later searches run for words that the earlier ones leave short.
+FOUND = ("q", "cand", "given", "kind", "counted")
+
+
+def _found(rows: DataFrame, kind: str | Column, given: Column | None = None, counted: bool = True) -> DataFrame:
+    return rows.select("q", "cand", (F.lit(None) if given is None else given).cast("int").alias("given"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(counted).alias("counted"))
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """A candidate found twice: the given score that is lowest, the counted kind first."""
+    best = found.groupBy("q", "cand").agg(F.min(F.struct(F.when(F.col("counted"), 0).otherwise(1).alias("o"), F.col("kind"))).alias("x"), F.min("given").alias("given"))
+    return best.select("q", "cand", "given", F.col("x.kind").alias("kind"), (F.col("x.o") == 0).alias("counted"))
+
 
-    The last scan and the n-grams are for words with fewer than `least` candidates."""
-    plain = F.lit(None).cast("int")
-    found = one_edit(q, dictionary).select("q", "cand", plain.alias("given"), F.lit("edit").alias("kind"), F.lit(True).alias("counted"))
-    special = splits(q, dictionary, mode.split_chars, language).select("q", "cand", F.lit(SPLIT).alias("given"), F.lit("split").alias("kind"), F.lit(False).alias("counted"))
+def candidates(q: DataFrame, dictionary: DataFrame, mode: Mode, table: DataFrame | None = None, pairs: DataFrame | None = None, camel: bool = False, language: Language = ENGLISH) -> DataFrame:
+    """q, cand, given (a score that is not computed), kind, counted: what the searches find that run for all words."""
+    found = [_found(one_edit(q, dictionary), "edit"), _found(splits(q, dictionary, mode.split_chars, language), "split", F.lit(SPLIT), False)]
     if camel:
-        special = special.unionByName(camel_edits(q, dictionary, language).select("q", "cand", F.col("word_score").alias("given"), F.when(F.col("word_score") == CAMEL, "camel").otherwise("camel_off").alias("kind"), F.lit(False).alias("counted")))
+        found.append(_found(camel_edits(q, dictionary, language), F.when(F.col("word_score") == CAMEL, "camel").otherwise("camel_off"), F.col("word_score"), False))
     if table is not None and mode.repl_table:
-        found = found.unionByName(table_replacements(q, dictionary, table).select("q", "cand", F.lit(REPLACED).alias("given"), F.lit("table").alias("kind"), F.lit(True).alias("counted")))
+        found.append(_found(table_replacements(q, dictionary, table), "table", F.lit(REPLACED)))
     if pairs is not None:
-        found = found.unionByName(listed_replacements(q, pairs).select("q", "cand", plain.alias("given"), F.lit("listed").alias("kind"), F.lit(True).alias("counted")))
-    first = max(e for e in mode.scans if e < 2)
-    found = found.unionByName(scan(q, dictionary, first).select("q", "cand", plain.alias("given"), F.lit("scan").alias("kind"), F.lit(True).alias("counted")))
-    late = []
-    if 2 in mode.scans or mode.ngrams:
-        enough = found.groupBy("q").agg(F.countDistinct("cand").alias("n")).where(F.col("n") >= mode.least)
-        short = q.join(enough, "q", "left_anti")
-        if 2 in mode.scans:
-            late.append(scan(short, dictionary, 2))
-        if mode.ngrams:
-            late.append(ngrams(short, dictionary, 3, mode.ngram_keep).select("q", "cand"))
-    for more in late:
-        found = found.unionByName(more.select("q", "cand", plain.alias("given"), F.lit("scan").alias("kind"), F.lit(True).alias("counted")))
-    # a candidate found twice: the given score that is lowest, the counted kind first
-    every = found.unionByName(special)
-    best = every.groupBy("q", "cand").agg(F.min(F.struct(F.when(F.col("counted"), 0).otherwise(1).alias("o"), F.col("kind"))).alias("x"), F.min("given").alias("given"))
-    return best.select("q", "cand", "given", F.col("x.kind").alias("kind"), (F.col("x.o") == 0).alias("counted"))
+        found.append(_found(listed_replacements(q, pairs), "listed"))
+    found.append(_found(scan(q, dictionary, max(e for e in mode.scans if e < 2)), "scan"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return _once(every)
 
 
 def weighted(word: Column, sound: Column, mode: Mode) -> Column:
@@ -229,21 +234,46 @@ def adjusted(word: Column, sound: Column, mode: Mode) -> Column:
     return F.floor((mode.word_weight * word + w * sound) / 100).cast("int")
 
 
-def scored(q: DataFrame, cands: DataFrame, mode: Mode, keyboard: tuple[str, ...] | None = STANDARD_ROWS, language: Language = ENGLISH) -> DataFrame:
-    """q, cand, kind, counted, score, adj: candidates that stay under their word's thresholds."""
+EDITS = ("split", "camel", "camel_off")
+
+
+def distances(q: DataFrame, cands: DataFrame, mode: Mode, language: Language = ENGLISH) -> DataFrame:
+    """Candidates that may come under their word's threshold, with keys, word_score, sound_score and score."""
     info = cands.join(q.select("q", "stripped", "soundslike", F.col("clean").alias("q_clean")), "q").withColumns({"c_stripped": stripped("cand"), "c_sound": soundslike("cand", language.soundslike), "c_clean": clean("cand")})
-    edits = F.col("kind").isin("split", "camel", "camel_off")
+    edits = F.col("kind").isin(*EDITS)
     info = _promising(info, edits, mode)
     word = F.when(edits, F.col("given")).otherwise(F.least(F.coalesce("given", F.lit(FAR)), osa_distance("q_clean", "c_clean")))
     sound = F.when(edits, F.col("given")).otherwise(osa_distance("soundslike", "c_sound"))
     told = info.withColumn("word_score", word).withColumn("sound_score", sound)
-    told = told.withColumn("score", F.when(edits, F.col("given")).otherwise(weighted(F.col("word_score"), F.col("sound_score"), mode)))
-    # the third counted word with a key of its own sets the threshold
+    return told.withColumn("score", F.when(edits, F.col("given")).otherwise(weighted(F.col("word_score"), F.col("sound_score"), mode)))
+
+
+def _thresholds(told: DataFrame, mode: Mode) -> DataFrame:
+    """q, keys (counted words with a key of their own, as far as they matter), third (the last of them: score and key), threshold."""
     keyed = told.where("counted").groupBy("q", "c_clean").agg(F.min("score").alias("score"))
     order = Window.partitionBy("q").orderBy("score", "c_clean")
-    third = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= mode.skip + 1).groupBy("q").agg(F.max("score").alias("third"))
-    limit = F.greatest(F.lit(100), F.coalesce("third", F.lit(0)) + mode.span)
-    near = told.join(third, "q", "left").withColumn("threshold", limit).where(F.col("score") <= F.col("threshold") + mode.span)
+    best = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= mode.skip + 1)
+    third = best.groupBy("q").agg(F.max("rank").alias("keys"), F.max(F.struct("score", "c_clean")).alias("third"))
+    return third.withColumn("threshold", F.greatest(F.lit(100), F.col("third.score") + mode.span))
+
+
+def hardness(q: DataFrame, cands: DataFrame, told: DataFrame, mode: Mode) -> DataFrame:
+    """q, hard: 3 for words without candidates, 1 where all candidates are near, else 2 where none is worse than the one that sets the threshold, and 0."""
+    every = cands.groupBy("q").agg(F.count("*").alias("n"))
+    limits = told.select("q").distinct().join(_thresholds(told, mode), "q", "left").withColumn("threshold", F.coalesce("threshold", F.lit(max(100, mode.span))))
+    near = told.join(limits, "q").where(F.col("score") <= F.col("threshold") + mode.span)
+    worse = F.sum((F.struct("score", "c_clean") >= F.col("third")).cast("int"))
+    counts = near.groupBy("q").agg(F.count("*").alias("near"), worse.alias("worse"), F.first("keys").alias("keys"))
+    hard = F.when(F.col("n").isNull(), 3).when(F.coalesce("near", F.lit(0)) == F.col("n"), 1).when((F.col("keys") == mode.skip + 1) & (F.col("worse") >= 2), 0).otherwise(2)
+    return q.select("q").join(every, "q", "left").join(counts, "q", "left").select("q", hard.alias("hard"))
+
+
+def scored(told: DataFrame, mode: Mode, keyboard: tuple[str, ...] | None = STANDARD_ROWS) -> DataFrame:
+    """q, cand, kind, counted, score, adj of distances(): candidates that stay under their word's thresholds."""
+    edits = F.col("kind").isin(*EDITS)
+    limits = _thresholds(told, mode).select("q", "threshold")
+    # the third counted word with a key of its own sets the threshold
+    near = told.join(limits, "q", "left").withColumn("threshold", F.coalesce("threshold", F.lit(max(100, mode.span)))).where(F.col("score") <= F.col("threshold") + mode.span)
     if not mode.typo_analysis:
         return near.withColumn("adj", F.col("score")).where("score <= threshold").select("q", "cand", "kind", "counted", "score", "adj")
     fine = F.when(F.col("kind") == "split", FINE_SPLIT).when(F.col("kind") == "camel", FINE_CAMEL).when(F.col("kind") == "camel_off", FINE_CAMEL_OFF)
@@ -291,8 +321,21 @@ def suggest(words: DataFrame, dictionary: DataFrame, mode: str | Mode = "normal"
         m = replace(m, split_chars=())
     if limit is not None:
         m = replace(m, limit=limit)
-    q = queries(words, word, language)
-    return ranked(q, scored(q, candidates(q, dictionary, m, table, pairs, camel, language), m, keyboard, language), m)
+    # each is written once: all joins below read it from there
+    q = stage(queries(words, word, language), "queries")
+    entries = stage(dictionary.select("word", "clean", "soundslike"), "entries")
+    cands = stage(candidates(q, entries, m, table, pairs, camel, language), "candidates")
+    told = stage(distances(q, cands, m, language), "distances")
+    open_ = q
+    for search, least in m.searches:
+        open_ = stage(open_.join(hardness(open_, cands, told, m).where(F.col("hard") >= least).select("q"), "q", "left_semi"), "hard")
+        if open_.isEmpty():
+            break
+        more = scan(open_, entries, 2) if search == "scan" else ngrams(open_, entries, 3, m.ngram_keep).select("q", "cand")
+        fresh = stage(_once(cands.join(open_.select("q"), "q", "left_semi").select(*FOUND).unionByName(_found(more, "scan"))), "candidates")
+        told = told.join(open_.select("q"), "q", "left_anti").unionByName(stage(distances(open_, fresh, m, language), "distances"))
+        cands = fresh
+    return ranked(q, scored(told, m, keyboard), m)
 
 
 def suggest_compounds(words: DataFrame, parts: DataFrame, dictionary: DataFrame, **options) -> DataFrame:

@@ -251,7 +251,16 @@ def multi_dict_union(spark, sf_dir):
     return dictionaries.union(*[dictionaries.frequency_dictionary(docs, 3, lang) for lang in ("en", "de", "fr")]).select("word", "dict_priority")
 
 
-@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '([^\" \\n\\t]+|[\" \\n\\t]+)'), lambda x: CASE WHEN regexp_matches(x, '" + filters.URL_SQL.replace("\\n", "\\n").replace("'", "''") + "') THEN repeat(' ', length(x)) ELSE x END), '') AS filtered FROM documents")
+#: SQL: what becomes blank, line ends aside.
+BLANK = "regexp_replace({x}, '[^\\n]', ' ', 'g')"
+
+
+def _segments(column: str, pattern: str, rule: str) -> str:
+    """SQL: column cut by a pattern into segments x, each replaced by the rule, and put together."""
+    return f"array_to_string(list_transform(regexp_extract_all({column}, '{pattern}'), lambda x: {rule}), '')"
+
+
+@query("SELECT doc_id, " + _segments("text", filters.RUNS, f"CASE WHEN regexp_matches(x, '{filters.URL_SQL}') THEN {BLANK.format(x='x')} ELSE x END") + " AS filtered FROM documents")
 def url_filter(spark, sf_dir):
     return filters.apply_filters(documents(spark, sf_dir).select("doc_id", "text"), ["url"]).select("doc_id", "filtered")
 
@@ -267,40 +276,106 @@ def html_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.trim(bare).alias("text"))
 
 
-@query()
+_HTML = _segments("html", r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&#?[A-Za-z0-9]*;?|[^<&]+|.", f"CASE WHEN x[1] IN ('<', '&') THEN {BLANK.format(x='x')} ELSE x END")
+
+
+@query(f"WITH f AS (SELECT page_id, {_HTML} AS filtered FROM pages) SELECT page_id, filtered, CAST(len(regexp_extract_all(filtered, '{P}')) AS INT) AS n_tokens FROM f")
 def html_filter(spark, sf_dir):
     done = filters.apply_filters(table(spark, sf_dir, "pages"), ["html"], "html")
     return done.select("page_id", "filtered", F.size(tokenize.words("filtered")).alias("n_tokens"))
 
 
-@query()
+_REFERENCES = _segments("html", r"&#[0-9]*;?|&[A-Za-z][\w.-]*;?|[^&]+|&", "CASE WHEN starts_with(x, '&#') THEN chr(CAST('0' || regexp_extract(x, '[0-9]+') AS INT)) WHEN regexp_matches(x, '^&[A-Za-z]') THEN '?' ELSE x END")
+
+
+@query(f"WITH p AS (SELECT page_id, html || '&#65;&eacute;&#233' AS html FROM pages) SELECT page_id, {_REFERENCES} AS decoded, CAST(length(html) AS INT) AS source_chars FROM p")
 def html_decoder(spark, sf_dir):
-    return filters.decoded(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "decoded", F.aggregate("widths", F.lit(0), lambda a, x: a + x).alias("source_chars"))
+    """Pages, each with three more character references at its end."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit("&#65;&eacute;&#233")).alias("html"))
+    return filters.decoded(pages, "html").select("page_id", "decoded", F.aggregate("widths", F.lit(0), lambda a, x: a + x).alias("source_chars"))
 
 
-@query()
-def markdown_filter(spark, sf_dir):
-    return filters.apply_filters(documents(spark, sf_dir).select("doc_id", "text"), filters.mode_chain("markdown")).select("doc_id", "filtered")
+_CONTEXT = _segments(
+    "html",
+    r"""(?s)"[^"]*"?|//[^\n]*|/\*.*?\*/|[^"/]+|/""",
+    f"""CASE WHEN x[1] = '"' THEN ' ' || CASE WHEN length(x) > 1 AND right(x, 1) = '"' THEN x[2:-2] || ' ' ELSE x[2:] END WHEN starts_with(x, '//') THEN '  ' || x[3:]
+    WHEN starts_with(x, '/*') THEN '  ' || x[3:-3] || '  ' ELSE {BLANK.format(x='x')} END""",
+)
 
 
-@query()
+@query(f"SELECT page_id, {_CONTEXT} AS filtered FROM pages")
 def context_filter(spark, sf_dir):
     return filters.apply_filters(table(spark, sf_dir, "pages").select("page_id", "html"), ["context"], "html").select("page_id", "filtered")
 
 
-@query()
+# Whole documents inside markup of each kind: what is written, and what the filter leaves of it. None: the document's text.
+TEX = (
+    ("\\documentclass[a4]{book}\n", " " * 24 + "\n"),
+    ("\\section{", " " * 9),
+    (None, None),
+    ("\n} \\textbf{bold} ", "\n  " + " " * 8 + "bold  "),
+    ("\\cite[see]{key} ", " " * 6 + "see" + " " * 7),
+    ("\\newcommand{\\x}[2][opt]{body} ", " " * 19 + "opt" + "  " + "body  "),
+    ("\\begin{center}mid\\end{center} ", " " * 14 + "mid" + " " * 13),
+    ("5\\% kept % gone", "5   kept" + " " * 7),
+)
+TEXINFO = (
+    ("\\input texinfo\n", " " * 14 + "\n"),
+    ("@chapter ", " " * 9),
+    (None, None),
+    ("\n@emph{kept} @code{gone} ", "\n     {kept}      {    } "),
+    ("\n@example\ngone here\n@end example\n", "\n        \n         \n            \n"),
+    ("@table @code\n@item gone\nkept\n@end table\n@c a note", " " * 12 + "\n" + " " * 10 + "\nkept\n" + " " * 10 + "\n" + " " * 9),
+)
+NROFF = (
+    (".TH NAME 1\n", "    NAME 1\n"),
+    (".ds XX kept\n", "       kept\n"),
+    (None, None),
+    ("\n\\fBbold\\fR and \\(co \\*x end\n", "\n   bold    and        x end\n"),
+    (".\\\" note", "    note"),
+)
+MARKDOWN = (
+    ("Head\n====\n\n", "Head\n    \n\n"),
+    ("> ", "  "),
+    (None, None),
+    ("\n\n[link](http://a.b/c) and `code` and ``co`de``\n\n", "\n\n[link]" + " " * 14 + " and " + " " * 6 + " and " + " " * 9 + "\n\n"),
+    ("```\nfenced\n```\n", "   \n      \n   \n"),
+    ("[ref]: http://a.b 'title'\n\n", " " * 18 + "'title'\n\n"),
+    ("- item <b>bold</b> <!-- note -->", "  item    bold    " + " " * 14),
+)
+
+
+def _in_markup(docs: DataFrame, parts) -> DataFrame:
+    return docs.select("doc_id", F.concat(*[F.col("text") if source is None else F.lit(source) for source, _ in parts]).alias("text"))
+
+
+def _left(parts, text: str) -> str:
+    """SQL: what is left of documents in markup, if of a text alone this is left."""
+    told = " || ".join(text if left is None else "'" + left.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for _, left in parts)
+    return f"SELECT doc_id, {told} AS filtered FROM documents"
+
+
+_LINES = "array_to_string(list_transform(string_split(text, chr(10)), lambda x: {rule}), chr(10))"
+
+
+@query(_left(TEX, _LINES.format(rule="CASE WHEN contains(x, '%') THEN left(x, strpos(x, '%') - 1) || repeat(' ', length(x) - strpos(x, '%') + 1) ELSE x END")))
 def tex_filter(spark, sf_dir):
-    return filters.apply_filters(documents(spark, sf_dir).select("doc_id", "text"), ["tex"]).select("doc_id", "filtered")
+    return filters.apply_filters(_in_markup(documents(spark, sf_dir), TEX), ["tex"]).select("doc_id", "filtered")
 
 
-@query()
+@query(_left(TEXINFO, _segments("text", "@[A-Za-z]+|@[^A-Za-z]|[^@]+|@", f"CASE WHEN length(x) > 1 AND x[1] = '@' THEN {BLANK.format(x='x')} ELSE x END")))
 def texinfo_filter(spark, sf_dir):
-    return filters.apply_filters(documents(spark, sf_dir).select("doc_id", "text"), ["texinfo"]).select("doc_id", "filtered")
+    return filters.apply_filters(_in_markup(documents(spark, sf_dir), TEXINFO), ["texinfo"]).select("doc_id", "filtered")
 
 
-@query()
+@query(_left(NROFF, "text"))
 def nroff_filter(spark, sf_dir):
-    return filters.apply_filters(documents(spark, sf_dir).select("doc_id", "text"), ["nroff"]).select("doc_id", "filtered")
+    return filters.apply_filters(_in_markup(documents(spark, sf_dir), NROFF), ["nroff"]).select("doc_id", "filtered")
+
+
+@query(_left(MARKDOWN, _segments("text", "&#?[A-Za-z0-9]*;?|[^&]+", f"CASE WHEN x[1] = '&' THEN {BLANK.format(x='x')} ELSE x END")))
+def markdown_filter(spark, sf_dir):
+    return filters.apply_filters(_in_markup(documents(spark, sf_dir), MARKDOWN), ["markdown", "sgml"]).select("doc_id", "filtered")
 
 
 @query(

@@ -10,6 +10,8 @@ from quillspark.functions.phonet import Phonet, phonet_key
 from quillspark.operators import affix, check, report, suggest, tokenize
 from quillspark.plans.checking import ACCEPTED, KEYED, P, dictionary, documents, sql_soundslike, table
 from quillspark.functions.language import sql_accepts, sql_clean
+from quillspark.sources import dictionaries
+from quillspark.storage import stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,10 +92,16 @@ def table_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TABLE, "`from` string, `to` string")
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct lower-case words of all English documents: those that the frequency dictionary lacks, and the dictionary. One pass over the texts."""
+    counted = stage(dictionaries.frequency_dictionary(documents(spark, sf_dir), 1), "vocabulary")
+    entries = counted.where("doc_freq >= 3")
+    return check.incorrect(counted.select("word"), entries), entries
+
+
 def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct lower-case English words that the frequency dictionary lacks."""
-    words = documents(spark, sf_dir).where("lang = 'en'").select(F.explode(F.array_distinct(F.transform(tokenize.words("text"), F.lower))).alias("word")).distinct()
-    return check.incorrect(words, dictionary(spark, sf_dir))
+    """Distinct lower-case words of English documents that the frequency dictionary lacks."""
+    return vocabulary(spark, sf_dir)[0]
 
 
 UNKNOWN = f"{KEYED}, w AS (SELECT DISTINCT lower(word) AS word FROM tok WHERE lang = 'en'), unk AS (SELECT word, {sql_clean('word')} AS clean FROM w WHERE length(word) > 1 AND NOT {ACCEPTED})"
@@ -111,34 +119,36 @@ VALUES = ", ".join(f"('{a}', '{b}')" for a, b in TABLE)
     SELECT unk.word AS q, keyed.word AS cand, CAST(word_score AS INT) AS word_score FROM s JOIN unk ON unk.clean = a JOIN keyed ON keyed.clean = b WHERE word_score IS NOT NULL"""
 )
 def one_edit_candidates(spark, sf_dir):
-    return suggest.one_edit(suggest.queries(unknown(spark, sf_dir)), dictionary(spark, sf_dir))
+    words, entries = vocabulary(spark, sf_dir)
+    return suggest.one_edit(suggest.queries(words), entries)
 
 
 @query(f"WITH {UNKNOWN}, u AS (SELECT word, {sql_soundslike('word')} AS s FROM unk), d AS (SELECT word, {sql_soundslike('word')} AS s FROM keyed) SELECT u.word AS q, d.word AS cand FROM u JOIN d USING (s)")
 def scan0_same_soundslike(spark, sf_dir):
-    return suggest.scan(suggest.queries(unknown(spark, sf_dir)), dictionary(spark, sf_dir), 0)
+    words, entries = vocabulary(spark, sf_dir)
+    return suggest.scan(suggest.queries(words), entries, 0)
 
 
 @query(
-    f"""WITH {UNKNOWN}, u AS (SELECT word, {sql_soundslike('word')} AS s FROM unk), d AS (SELECT word, {sql_soundslike('word')} AS s FROM keyed),
-    a AS (SELECT DISTINCT s AS a, unnest({DEL1.format(k='s')}) AS k FROM u), b AS (SELECT DISTINCT s AS b, unnest({DEL1.format(k='s')}) AS k FROM d),
+    f"""WITH {UNKNOWN}, u AS (SELECT DISTINCT {sql_soundslike('word')} AS s FROM unk), d AS (SELECT DISTINCT {sql_soundslike('word')} AS s FROM keyed),
+    a AS (SELECT s AS a, unnest({DEL1.format(k='s')}) AS k FROM u), b AS (SELECT s AS b, unnest({DEL1.format(k='s')}) AS k FROM d),
     p AS (SELECT DISTINCT a, b FROM a JOIN b USING (k))
-    SELECT a AS soundslike, count(*) AS n_sounds, min(b) AS first_sound, max(b) AS last_sound FROM p WHERE levenshtein(a, b) <= 1 OR length(a) = length(b) GROUP BY 1"""
+    SELECT a AS soundslike, b AS near FROM p WHERE levenshtein(a, b) <= 1 OR length(a) = length(b)"""
 )
 def scan1_soundslike(spark, sf_dir):
-    """For each unknown soundslike, how many of the dictionary are within one edit; words are attached by scan()."""
-    q, d = suggest.queries(unknown(spark, sf_dir)), dictionary(spark, sf_dir)
-    pairs = suggest.near_pairs(q.select(F.col("soundslike").alias("a")), d.select(F.col("soundslike").alias("b")), 1)
+    """Each unknown soundslike with all of the dictionary that are within one edit; words are attached by scan()."""
+    words, entries = vocabulary(spark, sf_dir)
+    q = suggest.queries(words)
+    pairs = suggest.near_pairs(q.select(F.col("soundslike").alias("a")), entries.select(F.col("soundslike").alias("b")), 1)
     pairs = pairs.where((F.levenshtein("a", "b", 1) >= 0) | (F.length("a") == F.length("b")))
-    return pairs.groupBy(F.col("a").alias("soundslike")).agg(F.count("*").alias("n_sounds"), F.min("b").alias("first_sound"), F.max("b").alias("last_sound"))
+    return pairs.select(F.col("a").alias("soundslike"), F.col("b").alias("near"))
 
 
 @query()
 def ngram_candidates(spark, sf_dir):
-    """N-gram candidates of unknown words that have no entry with their soundslike."""
-    d = dictionary(spark, sf_dir)
-    q = suggest.queries(unknown(spark, sf_dir)).join(d.select("soundslike").distinct(), "soundslike", "left_anti")
-    return suggest.ngrams(q, d)
+    """N-gram candidates of all unknown words."""
+    words, entries = vocabulary(spark, sf_dir)
+    return suggest.ngrams(stage(suggest.queries(words), "queries"), entries)
 
 
 @query(
@@ -148,7 +158,8 @@ def ngram_candidates(spark, sf_dir):
     SELECT DISTINCT word AS q, a || s || b AS cand FROM g, (SELECT unnest([' ', '-']) AS s)"""
 )
 def try_split(spark, sf_dir):
-    return suggest.splits(suggest.queries(unknown(spark, sf_dir)), dictionary(spark, sf_dir))
+    words, entries = vocabulary(spark, sf_dir)
+    return suggest.splits(suggest.queries(words), entries)
 
 
 @query(
@@ -158,7 +169,8 @@ def try_split(spark, sf_dir):
     SELECT DISTINCT n.word AS q, d.word AS cand FROM n JOIN keyed d ON d.clean = n.k"""
 )
 def try_repl(spark, sf_dir):
-    return suggest.table_replacements(suggest.queries(unknown(spark, sf_dir)), dictionary(spark, sf_dir), table_rows(spark))
+    words, entries = vocabulary(spark, sf_dir)
+    return suggest.table_replacements(suggest.queries(words), entries, table_rows(spark))
 
 
 def _listed(spark, sf_dir) -> DataFrame:
@@ -179,7 +191,7 @@ def repl_lookup(spark, sf_dir):
     SELECT word, arg_min([a, b], i) AS parts FROM g GROUP BY 1"""
 )
 def run_together(spark, sf_dir):
-    return check.run_together(unknown(spark, sf_dir), dictionary(spark, sf_dir))
+    return check.run_together(*vocabulary(spark, sf_dir))
 
 
 @query()
@@ -237,19 +249,34 @@ def phonet_keys(spark, sf_dir):
     return dictionary(spark, sf_dir).select("word", phonet_key("word", Phonet.parse(PHONET)).alias("key"))
 
 
+def _suggested(spark, sf_dir, mode: str) -> DataFrame:
+    words, entries = vocabulary(spark, sf_dir)
+    return suggest.suggest(words, entries, mode, table_rows(spark), limit=10)
+
+
 @query()
 def suggest_ultra_top10(spark, sf_dir):
-    return suggest.suggest(unknown(spark, sf_dir), dictionary(spark, sf_dir), "ultra", table_rows(spark), limit=10)
+    return _suggested(spark, sf_dir, "ultra")
 
 
 @query()
 def suggest_fast_top10(spark, sf_dir):
-    return suggest.suggest(unknown(spark, sf_dir), dictionary(spark, sf_dir), "fast", table_rows(spark), limit=10)
+    return _suggested(spark, sf_dir, "fast")
 
 
 @query()
 def suggest_normal_top10(spark, sf_dir):
-    return suggest.suggest(unknown(spark, sf_dir), dictionary(spark, sf_dir), "normal", table_rows(spark), limit=10)
+    return _suggested(spark, sf_dir, "normal")
+
+
+@query()
+def suggest_slow_top10(spark, sf_dir):
+    return _suggested(spark, sf_dir, "slow")
+
+
+@query()
+def suggest_bad_spellers_top10(spark, sf_dir):
+    return _suggested(spark, sf_dir, "bad-spellers")
 
 
 def _roots(spark, sf_dir) -> DataFrame:

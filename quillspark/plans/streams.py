@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark import streaming
 from quillspark.plans.checking import ACCEPTED, KEYED, dictionary, table
+from quillspark.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,10 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that the stream gives for the files present, written to the shared folder and read back."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/stream-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     run = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception():

@@ -57,7 +57,7 @@ class Pipe:
             return [str(self.speller.options[rest])]
         elif name in ("pp", "ps"):
             words = self.speller.personal if name == "pp" else self.speller.session
-            listed = sorted(r["word"] for r in words.select("word").limit(100_000).collect()) if words is not None else []
+            listed = [r["word"] for r in words.select("word").orderBy("word").toLocalIterator()] if words is not None else []
             return [f"{len(listed)}: {', '.join(listed)}"]
         return []
 

@@ -36,5 +36,5 @@ def suggestion_modes(spark: SparkSession) -> DataFrame:
 def dicts(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue of a folder's dictionaries, by file names alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
-    names = [r[0].rsplit("/", 1)[-1] for r in files.limit(100_000).collect()]
+    names = [r[0].rsplit("/", 1)[-1] for r in files.toLocalIterator()]
     return catalogue(spark, names)

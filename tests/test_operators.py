@@ -23,7 +23,9 @@ def frame(spark, values):
 
 CASES = [
     ("url", "see http://a.b/c now", "see              now"),
-    ("url", "a me@x.org b", "a          b"),
+    ("url", "an me@x.org b", "an          b"),
+    ("url", "a me@x.org b", " " * 11 + "b"),
+    ("url", "x a.b.. c.d/", "x a.b.. c.d/"),
     ("url", "no. dots... here", "no. dots... here"),
     ("url", "www.x.org", "         "),
     ("email", "> quoted\nmine", "        \nmine"),
@@ -31,9 +33,14 @@ CASES = [
     ("html", "a<script>var x</script>b", "a" + " " * 22 + "b"),
     ("html", '<img alt="a cat" src="x">', " " * 10 + "a cat" + " " * 10),
     ("html", "a&amp;b<!-- c -->d", "a     b          d"),
+    ("html", "<img hidden alt='x'>y<!--->z A & B", " " * 20 + "y" + " " * 6 + "z A   B"),
+    ("html", "<script/>a</script x>b<style>c<style>d</style>e</style>f", "         a           b" + " " * 33 + "f"),
     ("tex", "a \\textbf{b} % c\nd", "a b d"),
+    ("tex", "\\cite{a{b}c} \\cite[d]{e} \\foo % f\n{g} \\% h \\\\% i", "b d g h"),
     ("tex", "\\label{sec:x} see", "              see"),
     ("texinfo", "use @code{x1} now", "use now"),
+    ("nroff", ".B lost kept\n.SH Don't go on\n", "        kept\n    Don      on\n"),
+    ("nroff", "\\- \\*x \\n(ab \\s+12 \\[co x] \\\" c\n.if t .SH x\n.ds\nAB c", " - " + "  x " + " " * 6 + " " * 4 + "2 " + " " * 7 + "    c\n" + " " * 10 + "x\n   \n   c"),
     ("nroff", ".TH name\ntext \\fBbold\\fR end", "    name\ntext    bold    end"),
     ("markdown", "a `code` b", "a        b"),
     ("markdown", "[text](http://x.y) z", "text z"),
