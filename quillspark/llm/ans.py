@@ -8,8 +8,10 @@ so that a reader can start there; and the CRC-32 of its words and of its ids.
     block: uint32 ids, words, checkpoints, crc of words, crc of ids | checkpoints: uint32 position,
            LANES uint64 states | LANES uint64 final states | uint32 words
 
-Documents are in ascending doc_id order over all files and segments (null ids first, then by text). Null texts
-are empty: their only id is the end id. Repeated rows are coded once each. An empty table gives no segments.
+Documents are in ascending doc_id order over all files and segments, null ids first; rows of equal ids are in the order
+in which they were read. Where a document ends stands beside the blocks: the end id may be one of a text's own. Null texts
+are empty: their only id is the end id. Repeated rows are coded once each. An empty table gives no segments. Other
+columns are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -188,7 +190,9 @@ def write_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that repeat a doc_id, or have none, are told apart by their place: no file has to hold all of them
+    placed = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     return stage(ordered.mapInArrow(run, SEGMENT_SCHEMA), "token-ids")
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import storage
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,22 +29,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    bound_arrow(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back, in batches that suit long texts."""
+    bound_arrow(df.sparkSession)
+    return storage.stage(df, name)
 
 
 def quoted(name: str) -> Column:
@@ -52,6 +40,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of df that have a hash: all but maps and the like."""
+    return [quoted(f.name) for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def field(struct: str, name: str) -> Column:
     """A field of a struct under its own name, whatever characters the name has."""
     return F.col(struct).getField(name).alias(name)
@@ -61,21 +54,21 @@ def field(struct: str, name: str) -> Column:
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 50_000, 64
 
 
-def skewed_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, key: str | list[str], counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join on key, of which a few values may hold most rows of left; right has one row for each.
 
     counted: rows of left's keys, if they are cheaper to count; or sizes: key, size. Fewer than HOT_SHARE keys are hot."""
+    keys = [key] if isinstance(key, str) else key
     if sizes is None:
-        sizes = counted.groupBy(key).agg(F.count("*").alias("size"))
-    sizes = sizes.select(key, "size").where(F.col("size") > HOT_ROWS)
-    sizes = stage(sizes, "hot")
+        sizes = (left if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("size"))
+    sizes = stage(sizes.select(*keys, "size").where(F.col("size") > HOT_ROWS), "hot")
     total = sizes.agg(F.sum("size")).first()[0]
     if not total:
-        return left.join(right, key)
-    hot = F.broadcast(sizes.where(F.col("size") > total // HOT_SHARE).select(key))
-    salted = left.join(hot, key, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(SALTS)).cast("int"))
-    parts = right.join(hot, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(hot, key, "left_anti").join(right, key).unionByName(salted.join(parts, [key, "_salt"]).drop("_salt"))
+        return left.join(right, keys)
+    hot = F.broadcast(sizes.where(F.col("size") > total // HOT_SHARE).select(*keys))
+    salted = left.join(hot, keys, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), F.lit(SALTS)).cast("int"))
+    parts = right.join(hot, keys, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(hot, keys, "left_anti").join(right, keys).unionByName(salted.join(parts, [*keys, "_salt"]).drop("_salt"))
 
 
 def word_count(text: str | Column) -> Column:

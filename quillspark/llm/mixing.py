@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import field, quoted, stage, word_count
+from quillspark.llm.common import field, hashable, quoted, stage, word_count
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, "mix-1"
 BUCKETS = 4096
@@ -44,13 +44,12 @@ def _uniform(seed: str) -> Column:
 
 def _placed(docs: DataFrame, seed: str, carried: list[str]) -> DataFrame:
     """Written rows: source, doc_id, text_hash, row_hash, row (a number of its own), size, u, and doc: the columns carried."""
-    hashed = [quoted(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     # names of the table's own are gone before the rows get their numbers
     rows = docs.select(
         F.col("source"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
-        F.xxhash64(*hashed).alias("row_hash"),
+        F.xxhash64(*hashable(docs)).alias("row_hash"),
         F.monotonically_increasing_id().alias("row"),
         word_count("text").alias("size"),
         _uniform(seed).alias("u"),

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batches, skewed_join, stage
+from quillspark.llm.common import batches, field, hashable, quoted, skewed_join, stage
 from quillspark.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -424,7 +424,9 @@ def keep_representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if repeated:  # an id stays if one of its rows does
         gone = gone.join(told.where("kept"), "doc_id", "left_anti")
     # few ids go: written out, their size tells Catalyst whether the texts have to move at all
-    kept = docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
     if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        packed = kept.where("doc_id is not null").select("doc_id", F.struct(*map(quoted, docs.columns)).alias("doc"), F.struct(F.xxhash64("text"), F.xxhash64(*hashable(kept))).alias("by"))
+        one = packed.groupBy("doc_id").agg(F.min_by("doc", "by").alias("doc")).select(*[field("doc", c) for c in docs.columns])
+        kept = one.unionByName(kept.where("doc_id is null"))
     return kept

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.common import batches
+from quillspark.llm.common import batches, field, quoted
 
 #: Words a repeat has at least; share of covered words and length of one repeat that are still kept.
 MIN_MATCH, MAX_COVERED, MAX_REPEAT = 10, 0.2, 200
@@ -180,9 +181,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, all columns as they are."""
-    schema = docs.schema
-    at = docs.columns.index("text")
+    """The rows of docs that the rules keep, all columns, whatever their names, as they are."""
+    packed = docs.select("text", F.struct(*map(quoted, docs.columns)).alias("doc"))
 
     def run(rows: Iterator) -> Iterator:
         import pyarrow as pa
@@ -190,6 +190,7 @@ def keep_by_rules(docs: DataFrame) -> DataFrame:
         for batch in rows:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield part.filter(pa.array([x[-1] for x in describe(part.column(at).to_pylist())], pa.bool_()))
+                kept = pa.array([x[-1] for x in describe(part.column(0).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(1).filter(kept)], ["doc"])
 
-    return docs.mapInArrow(run, schema)
+    return packed.mapInArrow(run, T.StructType([packed.schema["doc"]])).select(*[field("doc", c) for c in docs.columns])

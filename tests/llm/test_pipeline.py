@@ -27,7 +27,7 @@ def test_stages(spark):
     cut = cut_lines(sorted((d, t) for d, t, _ in before))
     assert {r.doc_id: r.text for r in after.collect()} == {d: cut[d] for d, t, _ in before if cut[d].strip() or cut[d] == t}
     before, after = seen["near duplicates"]
-    assert sorted(r.doc_id for r in after.collect()) == sorted(d for d, (_, c) in linked([(d, t) for d, t, _ in before]).items() if d == c)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(d for d, (_, c) in linked([(d, t) for d, t, _ in before], 80).items() if d == c)
     before, after = seen["source mix"]
     total = sum(len(t.split()) for _, t, _ in before)
     assert abs(sum(len(r.text.split()) for r in after.collect()) - total) <= 0.05 * total
