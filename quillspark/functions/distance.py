@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,23 @@ class TypoWeights:
 STANDARD_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 
+@dataclass(frozen=True)
+class Keyboard:
+    """Pairs of neighbouring keys, and groups of characters that share a key."""
+
+    near: frozenset[tuple[str, str]]
+    keys: tuple[str, ...] = ()
+
+    @staticmethod
+    def of(pairs: Iterable[tuple[str, str]], keys: Iterable[str] = ()) -> Keyboard:
+        pairs = list(pairs)
+        return Keyboard(frozenset(pairs + [(b, a) for a, b in pairs]), tuple(keys))
+
+    def normal(self) -> dict[int, str]:
+        """Each character of a key as the key's first one."""
+        return {ord(c): k[0] for k in self.keys for c in k}
+
+
 @lru_cache(maxsize=8)
 def neighbours(rows: tuple[str, ...] = STANDARD_ROWS) -> frozenset[tuple[str, str]]:
     pairs = [(a, b) for row in rows for a, b in zip(row, row[1:], strict=False)]
@@ -103,29 +121,134 @@ def typo(candidate: str, typed: str, near: frozenset[tuple[str, str]] = neighbou
     return table[-1][-1]
 
 
+#: Pairs of strings that are compared at a time.
+CHUNK = 4096
+
+
+def _codes(strings: list[str]) -> np.ndarray:
+    """Code points, a row for each place: short strings end in zeros."""
+    array = np.array(strings, dtype=np.str_)
+    return np.ascontiguousarray(array.view(np.uint32).reshape(len(strings), -1).T) if array.dtype.itemsize else np.zeros((0, len(strings)), np.uint32)
+
+
+def _many(a: list[str], b: list[str], table) -> np.ndarray:
+    """What table (codes of a, codes of b, first row: a function of i that gives the row of place i) says of each pair, all pairs of like lengths at a time."""
+    sizes = np.array([list(map(len, a)), list(map(len, b))], np.int64).reshape(2, -1)
+    out = np.zeros(len(a), np.int64)
+    by_b = np.argsort(sizes[1], kind="stable")
+    for start in range(0, len(a), CHUNK):
+        own = by_b[start : start + CHUNK]
+        own = own[np.argsort(-sizes[0, own], kind="stable")]
+        n, m = sizes[:, own]
+        step, row = table(_codes([a[i] for i in own]), _codes([b[i] for i in own]), int(m.max()))
+        done = np.flatnonzero(n == 0)
+        out[own[done]] = row[m[done], done]
+        for i in range(1, int(n.max()) + 1):
+            live = int(np.count_nonzero(n >= i))  # longer ones come first
+            row = step(i, live)
+            done = np.flatnonzero(n[:live] == i)
+            out[own[done]] = row[m[done], done]
+    return out
+
+
+def osa_many(a: list[str], b: list[str], w: Weights = Weights()) -> np.ndarray:
+    """osa() of each pair."""
+
+    def table(x, y, m):
+        rows = [None, np.repeat((w.delete * np.arange(m + 1))[:, None], x.shape[1], 1)]
+
+        def step(i, k):
+            two, one = rows
+            new = np.empty((m + 1, k), np.int64)
+            new[0] = w.insert * i
+            for j in range(1, m + 1):
+                best = np.minimum(np.minimum(one[j - 1, :k] + w.substitute, one[j, :k] + w.insert), new[j - 1] + w.delete)
+                if i > 1 and j > 1:
+                    swapped = (x[i - 1, :k] == y[j - 2, :k]) & (x[i - 2, :k] == y[j - 1, :k])
+                    best = np.where(swapped, np.minimum(best, two[j - 2, :k] + w.swap), best)
+                new[j] = np.where(x[i - 1, :k] == y[j - 1, :k], one[j - 1, :k], best)
+            rows[:] = one, new
+            return new
+
+        return step, rows[1]
+
+    return _many(a, b, table)
+
+
+def typo_many(candidates: list[str], typed: list[str], near: frozenset[tuple[str, str]] = neighbours(), w: TypoWeights = TypoWeights()) -> np.ndarray:
+    """typo() of each pair."""
+    letters = np.array(sorted({ord(c) for pair in near for c in pair}), np.uint32)
+    close = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+    at = {int(c): i for i, c in enumerate(letters)}
+    for p, q in near:
+        close[at[ord(p)], at[ord(q)]] = True
+
+    def place(codes):
+        """Of each character its number among the keys; others have the last one, which is near nothing."""
+        i = np.searchsorted(letters, codes)
+        return np.where(np.isin(codes, letters), i, len(letters)) if len(letters) else np.zeros(codes.shape, np.int64)
+
+    def table(x, y, m):
+        rows = [None, np.repeat((w.missing * np.arange(m + 1))[:, None], x.shape[1], 1)]
+        px, py = place(x), place(y)
+
+        def step(i, k):
+            two, one = rows
+            new = np.empty((m + 1, k), np.int64)
+            new[0] = w.extra * i
+            for j in range(1, m + 1):
+                same = x[i - 1, :k] == y[j - 1, :k]
+                replaced = np.where(close[px[i - 1, :k], py[j - 1, :k]], w.near, w.far)  # where it counts the two differ
+                best = np.minimum(one[j - 1, :k] + replaced, new[j - 1] + w.missing)
+                if i == 1:
+                    best = np.minimum(best, one[j, :k] + w.extra)
+                else:
+                    again = x[i - 2, :k] == y[j - 1, :k]
+                    beside = close[px[i - 2, :k], py[j - 1, :k]]
+                    added = np.where(again | beside, w.extra_near, w.extra)
+                    best = np.minimum(best, np.minimum(one[j, :k], two[j - 1, :k] + replaced) + added)
+                    if j > 1:
+                        first = np.where(x[i - 1, :k] == y[j - 2, :k], 0, np.where(close[px[i - 1, :k], py[j - 2, :k]], w.near, w.far))
+                        second = np.where(again, 0, np.where(beside, w.near, w.far))
+                        best = np.minimum(best, two[j - 2, :k] + w.swap + first + second)
+                new[j] = np.where(same, one[j - 1, :k], best)
+            rows[:] = one, new
+            return new
+
+        return step, rows[1]
+
+    return _many(candidates, typed, table)
+
+
 def _pairwise(f):
-    """An Arrow function of two string columns that computes equal pairs once."""
+    """An Arrow function of two string columns; f takes lists of strings. Nulls stay null."""
     @F.pandas_udf(T.IntegerType())
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in parts:
-            known: dict = {}
-            out = []
-            for pair in zip(a, b, strict=True):
-                if pair not in known:
-                    known[pair] = None if pair[0] is None or pair[1] is None else f(*pair)
-                out.append(known[pair])
-            yield pd.Series(out, dtype="Int32")
+            both = (a.notna() & b.notna()).to_numpy()
+            out = pd.Series([pd.NA] * len(a), dtype="Int32")
+            if both.any():
+                out[both] = f(a[both].tolist(), b[both].tolist())
+            yield out
 
     return run
 
 
 def osa_distance(a: str | Column, b: str | Column, weights: Weights = Weights()) -> Column:
-    return _pairwise(lambda x, y: osa(x, y, weights))(a, b)
+    return _pairwise(lambda x, y: osa_many(x, y, weights))(a, b)
+
+
+def typo_distance(candidate: str | Column, typed: str | Column, keyboard: Keyboard | tuple[str, ...] = STANDARD_ROWS) -> Column:
+    """keyboard: rows of keys, or pairs and keys as read from a definition."""
+    board = keyboard if isinstance(keyboard, Keyboard) else Keyboard(neighbours(keyboard))
+    normal = board.normal()
 
+    def run(x: list[str], y: list[str]) -> np.ndarray:
+        if normal:
+            x, y = ([s.translate(normal) for s in z] for z in (x, y))
+        return typo_many(x, y, board.near)
 
-def typo_distance(candidate: str | Column, typed: str | Column, rows: tuple[str, ...] = STANDARD_ROWS) -> Column:
-    near = neighbours(rows)
-    return _pairwise(lambda x, y: typo(x, y, near))(candidate, typed)
+    return _pairwise(run)(candidate, typed)
 
 
 def osa_expression(a: Column, b: Column, w: Weights = Weights()) -> Column:

@@ -8,10 +8,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.distance import STANDARD_ROWS
+from quillspark.functions.distance import STANDARD_ROWS, Keyboard
 from quillspark.functions.language import ENGLISH, Language
-from quillspark.operators import check, learning, report, suggest
-from quillspark.operators.filters import apply_filters, mode_chain
+from quillspark.operators import affix, check, learning, report, suggest
+from quillspark.operators.filters import apply_filters, chain, mode_chain
 from quillspark.operators.tokenize import tokens
 from quillspark.sources import dictionaries
 from quillspark.sources.options import Options
@@ -29,6 +29,43 @@ class Speller:
     session: DataFrame | None = None
     pairs: DataFrame | None = None
     table: DataFrame | None = None
+    affixes: DataFrame | None = None
+    folders: tuple[str, ...] = ("",)
+
+    @staticmethod
+    def open(spark: SparkSession, language: Language = ENGLISH, folders: tuple[str, ...] = ("",), affixes: DataFrame | None = None, **settings) -> Speller:
+        """A speller of the dictionaries that the options name: master, extra-dicts, wordlists, personal and repl, found in the folders.
+
+        dict-alias holds ``name add one;add two`` items. Replacement lists among the extra dictionaries serve suggestions."""
+        options = Options.of({k.replace("_", "-"): v for k, v in settings.items()})
+        aliases = dict(x.split(" ", 1) for x in options["dict-alias"])
+
+        def find(name: str) -> tuple[str, DataFrame]:
+            return dictionaries.open_dictionary(spark, name, folders, aliases, language)
+
+        kind, main = find(options["master"] or options["lang"])
+        if kind != "words":
+            raise dictionaries.DictionaryError(f"{options['master']} holds no words")
+        found = [find(name) for name in options["extra-dicts"]]
+        words, pairs = [t for k, t in found if k == "words"], [t for k, t in found if k == "pairs"]
+        if words:
+            main = dictionaries.union(main, *words)
+        lists = [dictionaries.build(dictionaries.word_list(spark.read.text(path), language, clean_words=True), language) for path in options["wordlists"]]
+        own = {}
+        for key in ("personal", "repl"):
+            if options[key]:
+                try:
+                    own[key] = find(options[key])[1]
+                except dictionaries.DictionaryError:  # there is none yet: it is written when the speller saves
+                    if dictionaries._exists(spark, options[key]):
+                        raise
+        if "repl" in own:
+            pairs.append(own["repl"])
+        joined = None
+        for p in pairs:
+            joined = p if joined is None else learning.add_pairs(joined, p)
+        session = None if not lists else lists[0] if len(lists) == 1 else dictionaries.union(*lists)
+        return Speller(spark, main, options, language, own.get("personal"), session, joined, None, affixes, folders)
 
     @staticmethod
     def build(spark: SparkSession, main: DataFrame | Iterable[str], language: Language = ENGLISH, **settings) -> Speller:
@@ -61,6 +98,10 @@ class Speller:
         if self.options["camel-case"]:
             return check.camel_correct(rows, self.dictionary, **self._look())
         told = check.with_verdict(rows, self.dictionary, **self._look())
+        if self.affixes is not None:
+            # the root that makes a word; of several the first
+            made = affix.affix_correct(told.where("not is_correct"), self.dictionary, self.affixes).groupBy("word").agg(F.min("root").alias("root"))
+            told = told.join(made, "word", "left").withColumn("is_correct", F.col("is_correct") | F.col("root").isNotNull())
         if self.options["run-together"]:
             joined = check.run_together(told.where("not is_correct"), self.dictionary, limit=self.options["run-together-limit"], least=self.options["run-together-min"], **self._look())
             told = told.join(joined, "word", "left").withColumn("compound", F.col("parts").isNotNull()).withColumn("is_correct", F.col("is_correct") | F.col("compound")).drop("parts")
@@ -68,13 +109,22 @@ class Speller:
 
     def check_documents(self, docs: DataFrame, text: str = "text", mode: str | None = None) -> DataFrame:
         """Tokens with offsets that are misspelled, after the mode's filters."""
-        filtered = apply_filters(docs, mode_chain(mode or self.options["mode"]), text, "_filtered").drop(text).withColumnRenamed("_filtered", text)
+        steps = mode_chain(mode or self.options["mode"])
+        steps = steps + chain([f for f in self.options["filter"] if f not in {x.name for x in steps}]) if self.options["mode"] != "none" else steps
+        filtered = apply_filters(docs, steps, text, "_filtered").drop(text).withColumnRenamed("_filtered", text)
         found = tokens(filtered, text, self.language)
         bad = self.check(found.select("word").distinct()).where("not is_correct").select("word")
         return found.join(bad, "word", "left_semi")
 
+    def _keyboard(self) -> Keyboard | tuple[str, ...] | None:
+        name = self.options["keyboard"]
+        if name in ("none", "standard"):
+            return None if name == "none" else STANDARD_ROWS
+        pairs, keys = dictionaries.read_keyboard(self.spark, name)
+        return Keyboard.of([(r["a"], r["b"]) for r in pairs.collect()], keys)  # as many as a keyboard has keys
+
     def suggest(self, words: DataFrame | Iterable[str], mode: str | None = None, limit: int | None = None) -> DataFrame:
-        keyboard = None if self.options["keyboard"] == "none" else STANDARD_ROWS
+        keyboard = self._keyboard()
         table = self.table if self.options["sug-repl-table"] else None
         pairs = None if self.options["ignore-repl"] else self.pairs
         m = suggest.MODES[mode or self.options["sug-mode"]]
@@ -85,7 +135,9 @@ class Speller:
         """Protocol lines of all tokens."""
         found = tokens(docs, text, self.language)
         told = found.join(self.check(found.select("word").distinct()), "word")
-        return report.protocol(told, self.suggest(told.where("not is_correct").select("word")), self.options["reverse"], "byte_offset" if self.options["byte-offsets"] else "offset")
+        wrong = told.where("not is_correct").select("word")
+        listed = self.suggest(wrong) if self.options["suggest"] else self.spark.createDataFrame([], "q string, rank int, suggestion string")
+        return report.protocol(told, listed, self.options["reverse"], "byte_offset" if self.options["byte-offsets"] else "offset")
 
     def add_to_session(self, words: DataFrame | Iterable[str]) -> Speller:
         return replace(self, session=learning.add_words(self.session if self.session is not None else self.main.limit(0), self._frame(words), self.language))
@@ -96,9 +148,14 @@ class Speller:
     def clear_session(self) -> Speller:
         return replace(self, session=None)
 
-    def save_all(self, personal_path: str) -> None:
-        """Writes the personal list."""
-        dictionaries.save_personal(self.personal if self.personal is not None else self.main.limit(0), personal_path, self.language)
+    def save_all(self, personal_path: str | None = None, repl_path: str | None = None) -> None:
+        """Writes the personal list and, unless save-repl is off, the replacements; what the files hold already stays."""
+        path = personal_path or self.options["personal"]
+        if path:
+            dictionaries.save_personal(self.personal if self.personal is not None else self.main.limit(0), path, self.language)
+        path = repl_path or self.options["repl"]
+        if path and self.pairs is not None and self.options["save-repl"]:
+            dictionaries.save_replacements(self.pairs, path, self.language)
 
     def store_replacements(self, log: DataFrame) -> Speller:
         """Learns from corrections (user, at, mis, cor)."""

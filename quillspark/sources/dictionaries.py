@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.language import ENGLISH, Language, clean, is_valid, soundslike
+from quillspark.storage import stage
 
 #: Suffixes that a dictionary name is tried with, in order (fixed values).
 SUFFIXES = ("", ".multi", ".alias", ".spcl", ".special", ".pws", ".prepl")
@@ -70,6 +71,61 @@ def load(spark: SparkSession, path: str, language: Language = ENGLISH) -> DataFr
     return df.select("word", "aff", "clean", "soundslike")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def resolve(spark: SparkSession, name: str, folders: tuple[str, ...] = ("",)) -> str:
+    """The path of a dictionary: its name with the first suffix that exists, in the first folder that has it."""
+    for folder in ("",) if name.startswith("/") or "://" in name else folders:
+        for suffix in SUFFIXES:
+            path = f"{folder.rstrip('/')}/{name}{suffix}" if folder else f"{name}{suffix}"
+            if _exists(spark, path):
+                return path
+    raise DictionaryError(f"no dictionary {name} in {', '.join(f or '.' for f in folders)}")
+
+
+def open_dictionary(spark: SparkSession, name: str, folders: tuple[str, ...] = ("",), aliases: dict[str, str] | None = None, language: Language = ENGLISH) -> tuple[str, DataFrame]:
+    """(kind, table): words as a dictionary, or replacements as mis and cor, whichever the path holds.
+
+    A file of ``add name`` lines is the union of the dictionaries it names, found beside it or in the folders; an alias
+    stands for the lines it is given."""
+    if aliases and name in aliases:
+        return "words", _added(spark, aliases[name].split(";"), folders, aliases, language, name)
+    path = resolve(spark, name, folders)
+    if path.endswith((".multi", ".alias", ".spcl", ".special")):
+        beside = path.rpartition("/")[0]
+        lines = [r[0] for r in spark.read.text(path).collect()]  # as many as a file names dictionaries
+        return "words", _added(spark, lines, (beside, *folders), aliases, language, path)
+    columns = {"word", "aff", "clean", "soundslike"}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).first()
+    if files is None or files[0].endswith(".parquet"):
+        return "words", load(spark, path, language).select(*columns)
+    head = (spark.read.text(path).first() or ("",))[0].split()
+    if head and head[0].startswith("personal_repl"):
+        return "pairs", read_replacements(spark, path, language)
+    if head and head[0].startswith(("personal_ws", "personal_wl")):
+        return "words", read_personal(spark, path, language)
+    return "words", build(word_list(spark.read.text(path), language, clean_words=True), language)
+
+
+def _added(spark, lines: list[str], folders, aliases, language, name: str) -> DataFrame:
+    parts = []
+    for line in lines:
+        key, _, value = line.split("#", 1)[0].strip().partition(" ")
+        if key == "add":
+            kind, table = open_dictionary(spark, value.strip(), folders, {k: v for k, v in (aliases or {}).items() if k != name}, language)
+            if kind != "words":
+                raise DictionaryError(f"{value.strip()} holds no words")
+            parts.append(table)
+        elif key:
+            raise DictionaryError(f"{name}: unknown key {key}")
+    if not parts:
+        raise DictionaryError(f"{name}: there must be at least one add line")
+    return parts[0] if len(parts) == 1 else union(*parts)
+
+
 def union(*dictionaries: DataFrame) -> DataFrame:
     """Entries of all, with the number of the first dictionary that has them."""
     out = None
@@ -133,10 +189,22 @@ def personal_lines(dictionary: DataFrame, language: Language = ENGLISH) -> DataF
 
 
 def save_personal(dictionary: DataFrame, path: str, language: Language = ENGLISH) -> None:
-    """Writes one file; what is already at path is merged in first by the caller (read_personal, union)."""
+    """Writes one file. Words of a list that is there already stay in it."""
+    spark = dictionary.sparkSession
+    if _exists(spark, path):
+        there = stage(read_personal(spark, path, language), "personal")
+        dictionary = union(there, dictionary)
     personal_lines(dictionary, language).coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_replacements(pairs: DataFrame, path: str, language: Language = ENGLISH) -> None:
+    """Writes one file. Pairs of a list that is there already stay in it."""
+    spark = pairs.sparkSession
+    if _exists(spark, path):
+        pairs = stage(read_replacements(spark, path, language), "replacements").unionByName(pairs.select("mis", "cor"))
+    replacement_lines(pairs, language).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_replacements(spark: SparkSession, path: str, language: Language = ENGLISH) -> DataFrame:
     """mis, cor from a replacement list: split at the first space."""
     head = _header(spark, path, ("personal_repl-1.1", "personal_repl"), language)

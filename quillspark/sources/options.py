@@ -1,4 +1,9 @@
-"""Options: their types and defaults, ``key value`` files, list actions, and the order in which settings count."""
+"""Options: their types and defaults, ``key value`` files, list actions, and the order in which settings count.
+
+Read and kept so that existing settings load, but without effect on tables: encoding and the norm options (text is
+Unicode; see functions.encoding), ignore-accents, partially-expand, invisible-soundslike, time, backup; variety and
+size (see sources.dictionaries.select); the word and affix checks (see sources.dictionaries.word_list), guess.
+"""
 
 from __future__ import annotations
 
