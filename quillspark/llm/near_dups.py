@@ -11,7 +11,8 @@ each other in a bucket of at most TILE; those of larger buckets only where they
 sets. In the order of rising counts, two sets of the similarity do share one, so the passages that many texts have
 in common bring nobody together. That makes clusters, each text in one at most; in each cluster, tiles of bounded
 size compare full sets of all texts of unlike components. A tile gives a spanning forest, not all its pairs. No bucket is
-dropped or capped. A cluster of n texts that are almost similar enough, but not, costs n / TILE copies of each.
+dropped or capped. Texts of a cluster's largest component are copied once for each TILE texts of the others, those once for
+each TILE of all: only many texts that are almost similar enough, but not, cost more than in proportion.
 
 Null and blank texts have an empty set, are linked with nothing and stay. A row without doc_id is linked with
 nothing and stays (component null). Rows that repeat a doc_id are one document if their texts are equal;
@@ -226,13 +227,27 @@ def _grouped(rows: Iterator, keys: int, text: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _tiled(groups: DataFrame) -> DataFrame:
-    """Rows of groups (node, tiles, ...) in each tile (i, j), i <= j, of their group that their own number is part of.
+def _tiled(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """rows (key, node, component, ...) of groups with several components, in the tiles (i, j) of their group that each is part of.
 
-    A row is in as many tiles as its group has numbers; each pair of rows meets in one tile at least."""
-    dealt = groups.withColumn("own", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "tiles")
+    Rows of a group's largest component are dealt apart from the others: they never meet each other, only the others.
+    Each pair of unlike components meets in one tile at least; a group that fits is one tile."""
+    counts = rows.groupBy(key, "component").agg(F.count("*").alias("n"), (F.sum(weight) if weight else F.lit(0)).alias("w"))
+    both = counts.groupBy(key).agg(F.count("*").alias("components"), F.sum("n").alias("size"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "component")).alias("top")).where("components > 1")
+
+    def tiles(n, w):
+        return F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES)).cast("int")
+
+    fits = tiles(F.col("size"), F.col("w")) <= 1
+    few = F.when(fits, 1).otherwise(tiles(F.col("size") - F.col("top.n"), F.col("w") - F.col("top.w")))
+    many = F.when(fits, 0).otherwise(tiles(F.col("top.n"), F.col("top.w")))
+    plan = stage(both.select(key, "size", few.alias("few"), many.alias("many"), F.when(~fits, F.col("top.component")).alias("top")), "tiles")
+    dealt = skewed_join(rows, plan.drop("size"), key, sizes=plan)
+    large = F.col("component").eqNullSafe(F.col("top"))
+    number = F.pmod(F.xxhash64("node"), F.when(large, F.col("many")).otherwise(F.col("few"))).cast("int")
+    dealt = dealt.withColumn("own", number + F.when(large, F.col("few")).otherwise(0)).withColumn("last", F.when(large, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "few", "many", "top", "last")
 
 
 def _edges(tiles: DataFrame, key: str, value: str, find) -> DataFrame:
@@ -324,8 +339,7 @@ def _clusters(members: DataFrame, labels: DataFrame, links: DataFrame, docs: Dat
     if not large.isEmpty():
         opened = stage(skewed_join(told.where(F.col("size") > TILE).drop("size"), large.select("bucket"), "bucket", sizes=large).select("node", "component").distinct(), "open")
         met = stage(_first_shingles(_sets_of(opened.select("node"), docs, nodes), percent).join(opened, "node"), "first")
-        groups = stage(met.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "groups")
-        dealt = _tiled(skewed_join(met, groups.drop("size"), "shingle", sizes=groups))
+        dealt = _tiled(met, "shingle")
         forest = forest.unionByName(_edges(dealt.join(nodes.select("node", "signature"), "node"), "shingle", "signature", find))
     forest = stage(forest, "forest")
     if forest.isEmpty():
@@ -338,11 +352,8 @@ def _clusters(members: DataFrame, labels: DataFrame, links: DataFrame, docs: Dat
 
 def _exact_links(clusters: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links between unlike components of a cluster: in tiles of at most about TILE_SHINGLES shingles and TILE rows a side."""
-    sized = clusters.join(nodes.select("node", "n_shingles"), "node")
-    tiles = F.greatest(F.ceil(F.sum("n_shingles") / TILE_SHINGLES), F.ceil(F.count("*") / TILE)).cast("int").alias("tiles")
-    counts = stage(sized.groupBy("cluster").agg(tiles, F.count("*").alias("size")), "tiles")
-    dealt = skewed_join(clusters, counts.drop("size"), "cluster", sizes=counts).select("cluster", "node", "component", "tiles")
-    full = _tiled(dealt).join(_sets_of(clusters.select("node"), docs, nodes), "node")
+    sized = stage(clusters.join(nodes.select("node", "n_shingles"), "node"), "sized")
+    full = _tiled(sized, "cluster", "n_shingles").join(_sets_of(clusters.select("node"), docs, nodes), "node")
     return _edges(full, "cluster", "shingles", _exact(percent))
 
 
