@@ -146,9 +146,10 @@ def scan1_soundslike(spark, sf_dir):
 
 @query()
 def ngram_candidates(spark, sf_dir):
-    """N-gram candidates of all unknown words."""
+    """N-gram candidates of unknown words that have no entry with their soundslike: the search is for words that the others leave short."""
     words, entries = vocabulary(spark, sf_dir)
-    return suggest.ngrams(stage(suggest.queries(words), "queries"), entries)
+    q = suggest.queries(words).join(entries.select("soundslike").distinct(), "soundslike", "left_anti")
+    return suggest.ngrams(stage(q, "queries"), entries)
 
 
 @query(
@@ -194,7 +195,20 @@ def run_together(spark, sf_dir):
     return check.run_together(*vocabulary(spark, sf_dir))
 
 
-@query()
+CAMEL = "upper({x}[1]) || lower({x}[2:])"
+
+
+@query(
+    f"""WITH {KEYED}, e AS (SELECT doc_id, regexp_extract_all(text, '{P}') AS g FROM documents WHERE lang = 'en'),
+    o AS (SELECT doc_id, word, min(i) AS i FROM (SELECT doc_id, unnest(g) AS word, generate_subscripts(g, 1) AS i FROM e) GROUP BY 1, 2),
+    p AS (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM o),
+    w AS (SELECT DISTINCT {CAMEL.format(x='a')} || {CAMEL.format(x='b')} AS word FROM p WHERE b IS NOT NULL),
+    v AS (SELECT word, length(word) <= 1 OR {ACCEPTED} AS whole, regexp_extract_all(regexp_replace(word, '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), '\\p{{Lu}}?\\p{{Ll}}+|\\p{{Lu}}+') AS parts FROM w),
+    x AS (SELECT v.word AS full, whole, unnest(parts) AS word, generate_subscripts(parts, 1) AS pos, len(parts) AS n FROM v),
+    d AS (SELECT DISTINCT word FROM x), y AS (SELECT word, length(word) <= 1 OR {ACCEPTED} AS good FROM d w),
+    z AS (SELECT x.full AS word, any_value(whole) AS whole, bool_and(good) AND any_value(n) > 1 AS joined, count(*) FILTER (WHERE NOT good) AS wrong, arg_min(x.word, pos) FILTER (WHERE NOT good) AS first FROM x JOIN y ON x.word = y.word GROUP BY 1)
+    SELECT word, whole OR joined AS is_correct, CAST(CASE WHEN whole OR joined THEN 0 ELSE wrong END AS INT) AS n_wrong, CASE WHEN NOT (whole OR joined) THEN coalesce(first, word) END AS first_wrong FROM z"""
+)
 def camel_check(spark, sf_dir):
     """English words joined in pairs in camel case, checked part by part."""
     words = documents(spark, sf_dir).where("lang = 'en'").select(F.array_distinct(tokenize.words("text")).alias("w"))
@@ -212,8 +226,7 @@ def _pairs(spark, sf_dir) -> DataFrame:
 PAIRS = f"w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{P}'))) AS a FROM benchmark), pairs AS (SELECT a, lead(a) OVER (PARTITION BY a[1] ORDER BY a) AS b FROM w QUALIFY b IS NOT NULL)"
 
 
-@query(
-    f"""WITH RECURSIVE {PAIRS},
+OSA = f"""WITH RECURSIVE {PAIRS},
     r(a, b, i, two, one) AS (
       SELECT a, b, 0, CAST([] AS INT[]), CAST(list_transform(range(0, length(b) + 1), lambda j: j * 95) AS INT[]) FROM pairs
       UNION ALL
@@ -223,23 +236,49 @@ PAIRS = f"w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{P}'))) A
                      CASE WHEN i > 0 AND x[1] > 1 AND a[i + 1] = b[x[1] - 1] AND a[i] = b[x[1]] THEN two[x[1] - 1] + 90 ELSE 1048575 END) END])) AS INT[])
       FROM r WHERE i < length(a))
     SELECT a, b, one[length(b) + 1] AS osa FROM r WHERE i = length(a)"""
-)
+
+
+@query(OSA)
 def osa_weighted_distance(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", distance.osa_distance("a", "b").alias("osa"))
 
 
-@query()
+@query(OSA)
 def osa_folded_distance(spark, sf_dir):
     """The same distance as nested folds in the JVM."""
     return _pairs(spark, sf_dir).select("a", "b", distance.osa_expression(F.col("a"), F.col("b")).alias("osa"))
 
 
-@query()
+#: SQL: neighbours on the keyboard, and what replacing and adding a letter costs.
+NEAR = "[" + ", ".join(f"'{a}{b}'" for a, b in sorted(distance.neighbours())) + "]"
+REPLACED = "CASE WHEN {x} = {y} THEN 0 WHEN list_contains(" + NEAR + ", {x} || {y}) THEN 70 ELSE 110 END"
+ADDED = "CASE WHEN {x} = {y} OR list_contains(" + NEAR + ", {x} || {y}) THEN 70 ELSE 100 END"
+
+
+@query(
+    f"""WITH RECURSIVE {PAIRS},
+    r(a, b, i, two, one) AS (
+      SELECT a, b, 0, CAST([] AS INT[]), CAST(list_transform(range(0, length(b) + 1), lambda j: j * 85) AS INT[]) FROM pairs
+      UNION ALL
+      SELECT a, b, i + 1, one, CAST(list_reduce(list_concat([[(i + 1) * 100]], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda done, x: list_concat(done, [
+          CASE WHEN a[i + 1] = b[x[1]] THEN one[x[1]]
+          ELSE least(one[x[1]] + {REPLACED.format(x='a[i + 1]', y='b[x[1]]')}, done[x[1]] + 85,
+                     CASE WHEN i = 0 THEN one[x[1] + 1] + 100 ELSE least(one[x[1] + 1], two[x[1]] + {REPLACED.format(x='a[i + 1]', y='b[x[1]]')}) + {ADDED.format(x='a[i]', y='b[x[1]]')} END,
+                     CASE WHEN i > 0 AND x[1] > 1 THEN two[x[1] - 1] + 60 + {REPLACED.format(x='a[i + 1]', y='b[x[1] - 1]')} + {REPLACED.format(x='a[i]', y='b[x[1]]')} ELSE 1048575 END) END])) AS INT[])
+      FROM r WHERE i < length(a))
+    SELECT a, b, one[length(b) + 1] AS typo FROM r WHERE i = length(a)"""
+)
 def typo_distance(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", distance.typo_distance("a", "b").alias("typo"))
 
 
-@query()
+LEVEL = "len(list_filter(range(1, length(a) - {n} + 2), lambda i: contains(b, a[i:i + {n} - 1])))"
+
+
+@query(
+    f"""WITH {PAIRS}, l AS (SELECT a, b, {LEVEL.format(n=1)} AS one, {LEVEL.format(n=2)} AS two, {LEVEL.format(n=3)} AS three FROM pairs)
+    SELECT a, b, CAST(one + CASE WHEN one >= 2 THEN two + CASE WHEN two >= 2 THEN three ELSE 0 END ELSE 0 END - greatest(0, length(b) - length(a) - 2) AS INT) AS ngram FROM l"""
+)
 def ngram_scores(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", distance.ngram_score(3, F.col("a"), F.col("b")).alias("ngram"))
 
@@ -314,7 +353,15 @@ def affix_munch(spark, sf_dir):
     return affix.munch(dictionary(spark, sf_dir).select("word"), affix.rules(spark, AFFIXES)).where("prefix is null").select("word", "root", "suffix")
 
 
-@query()
+@query(
+    f"""WITH {KEYED}, m AS (SELECT word, word[3:] AS mid FROM dict WHERE word LIKE 're%' AND length(word) > 2), u(word, root, suffix) AS (
+      SELECT word, mid, NULL FROM m
+      UNION SELECT word, mid[1:length(mid) - 2], 'D' FROM m WHERE mid LIKE '%ed' AND length(mid) > 2 AND mid[length(mid) - 2] <> 'e'
+      UNION SELECT word, mid[1:length(mid) - 2] || 'e', 'D' FROM m WHERE mid LIKE '%ed' AND length(mid) > 2
+      UNION SELECT word, mid[1:length(mid) - 3], 'G' FROM m WHERE mid LIKE '%ing' AND length(mid) > 3 AND mid[length(mid) - 3] <> 'e'
+      UNION SELECT word, mid[1:length(mid) - 3] || 'e', 'G' FROM m WHERE mid LIKE '%ing' AND length(mid) > 3)
+    SELECT DISTINCT word, root, 'A' AS prefix, suffix FROM u"""
+)
 def affix_munch_prefixed(spark, sf_dir):
     return affix.munch(dictionary(spark, sf_dir).select("word"), affix.rules(spark, AFFIXES)).where("prefix is not null")
 
@@ -325,7 +372,7 @@ def affix_combine(spark, sf_dir):
     return affix.combine(words.select("word", F.when(F.col("word") == F.lower("word"), "L").otherwise("U").alias("aff")))
 
 
-@query()
+@query(f"WITH {FORMS.replace(KEYED, UNKNOWN)} SELECT DISTINCT f.form AS word, f.word AS root, f.prefix, f.suffix FROM forms f JOIN unk ON unk.word = f.form WHERE f.prefix IS NOT NULL OR f.suffix IS NOT NULL")
 def affix_check(spark, sf_dir):
     """Unknown words that an entry and its flags make."""
     return affix.affix_correct(unknown(spark, sf_dir), _roots(spark, sf_dir), affix.rules(spark, AFFIXES))
@@ -348,15 +395,24 @@ def munch_list(spark, sf_dir):
 
 @query(
     f"""WITH {KEYED}, m AS (SELECT item_id, regexp_extract_all(text, '[^\\p{{L}}]*?{P}') AS g FROM benchmark), e AS (SELECT item_id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM m),
-    w AS (SELECT item_id, regexp_extract(x, '{P}$') AS word, sum(length(x)) OVER (PARTITION BY item_id ORDER BY i) - length(regexp_extract(x, '{P}$')) AS "offset" FROM e)
-    SELECT item_id, CAST("offset" AS INT) AS "offset", CASE WHEN length(word) <= 1 OR {ACCEPTED} THEN '*' ELSE '# ' || word || ' ' || CAST("offset" AS BIGINT) END AS line FROM w"""
+    w AS (SELECT item_id, regexp_extract(x, '{P}$') AS word, sum(length(x)) OVER (PARTITION BY item_id ORDER BY i) - length(regexp_extract(x, '{P}$')) AS "offset" FROM e),
+    unk AS (SELECT DISTINCT word, {sql_clean('word')} AS clean FROM w WHERE NOT (length(word) <= 1 OR {ACCEPTED})),
+    a AS (SELECT DISTINCT clean AS a, unnest({DEL1.format(k='clean')}) AS k FROM unk), b AS (SELECT DISTINCT clean AS b, unnest({DEL1.format(k='clean')}) AS k FROM keyed),
+    p AS (SELECT DISTINCT a, b FROM a JOIN b USING (k)),
+    s AS (SELECT a, b, CASE WHEN a = b THEN 0 WHEN levenshtein(a, b) = 1 THEN CASE WHEN length(a) = length(b) THEN 100 ELSE 95 END
+      WHEN length(a) = length(b) AND levenshtein(a, b) = 2 AND damerau_levenshtein(a, b) = 1 THEN 90 END AS score FROM p),
+    c AS (SELECT unk.word, string_agg(keyed.word, ', ' ORDER BY score, keyed.word) AS list, count(*) AS n FROM s JOIN unk ON unk.clean = a JOIN keyed ON keyed.clean = b WHERE score IS NOT NULL GROUP BY 1)
+    SELECT item_id, CAST("offset" AS INT) AS "offset", CASE WHEN length(w.word) <= 1 OR {ACCEPTED} THEN '*' WHEN list IS NOT NULL THEN '& ' || w.word || ' ' || n || ' ' || CAST("offset" AS BIGINT) || ': ' || list
+      ELSE '# ' || w.word || ' ' || CAST("offset" AS BIGINT) END AS line FROM w LEFT JOIN c ON w.word = c.word"""
 )
 def pipe_report(spark, sf_dir):
-    """Protocol lines of all tokens of benchmark, without suggestions."""
+    """Protocol lines of all tokens of benchmark; unknown words are listed with all entries at one edit, the nearest first."""
+    entries = vocabulary(spark, sf_dir)[1]
     found = tokenize.tokens(table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    told = check.with_verdict(found, dictionary(spark, sf_dir))
-    none = spark.createDataFrame([], "q string, rank int, suggestion string")
-    return report.protocol(told, none).select("item_id", "offset", "line")
+    told = stage(check.with_verdict(found, entries), "verdicts")
+    near = suggest.one_edit(suggest.queries(told.where("not is_correct")), entries)
+    ranked = near.select("q", F.row_number().over(Window.partitionBy("q").orderBy("word_score", "cand")).alias("rank"), F.col("cand").alias("suggestion"))
+    return report.protocol(told, ranked).select("item_id", "offset", "line")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import streaming
-from quillspark.plans.checking import ACCEPTED, KEYED, dictionary, table
+from quillspark.plans.checking import ACCEPTED, DICT, KEYED, P, dictionary, table
 from quillspark.storage import shared_dir
 
 QUERIES: dict = {}
@@ -46,3 +46,6 @@ def stream_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (stream_misspellings, stream_event_rates)}
 ORACLE_SQL["stream_misspellings"] = f"WITH {KEYED}, w AS (SELECT word, count(*) AS n FROM tok WHERE lang = 'en' GROUP BY 1) SELECT word, n FROM w WHERE length(word) > 1 AND NOT {ACCEPTED}"
+ORACLE_SQL["stream_event_rates"] = f"""WITH {DICT}, w AS (SELECT CAST(ts AS TIMESTAMP) AS ts, lower(unnest(regexp_extract_all(event_type, '{P}'))) AS word FROM events)
+    SELECT date_trunc('hour', ts) AS start, count(*) AS n_words, CAST(sum(CASE WHEN word IN (SELECT word FROM dict) THEN 0 ELSE 1 END) AS BIGINT) AS n_unknown FROM w
+    GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events)"""

@@ -40,7 +40,7 @@ CASES = [
     ("tex", "\\label{sec:x} see", "              see"),
     ("texinfo", "use @code{x1} now", "use now"),
     ("nroff", ".B lost kept\n.SH Don't go on\n", "        kept\n    Don      on\n"),
-    ("nroff", "\\- \\*x \\n(ab \\s+12 \\[co x] \\\" c\n.if t .SH x\n.ds\nAB c", " - " + "  x " + " " * 6 + " " * 4 + "2 " + " " * 7 + "    c\n" + " " * 10 + "x\n   \n   c"),
+    ("nroff", "\\- \\*x \\n(ab \\s+12 \\[co x] \\\" c\n.if t .SH x\n.ds\nAB c", " - " + "  x " + " " * 6 + " " * 6 + " " * 8 + "   c\n" + " " * 10 + "x\n   \n   c"),
     ("nroff", ".TH name\ntext \\fBbold\\fR end", "    name\ntext    bold    end"),
     ("markdown", "a `code` b", "a        b"),
     ("markdown", "[text](http://x.y) z", "text z"),
