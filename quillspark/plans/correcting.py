@@ -318,6 +318,19 @@ def suggest_bad_spellers_top10(spark, sf_dir):
     return _suggested(spark, sf_dir, "bad-spellers")
 
 
+def _kernel(mode: str):
+    def run(spark, sf_dir):
+        entries = vocabulary(spark, sf_dir)[1]
+        words = table(spark, sf_dir, "benchmark").select(F.explode(tokenize.words("text")).alias("word")).distinct()
+        return suggest.suggest(check.incorrect(words, entries), entries, mode, table_rows(spark), limit=10)
+
+    run.__doc__ = f"Suggestions in the mode {mode} for all unknown words of benchmark: few words, so the modes' times can be compared."
+    return run
+
+
+QUERIES |= {f"kernel_{mode.replace('-', '_')}": _kernel(mode) for mode in suggest.MODES}
+
+
 def _roots(spark, sf_dir) -> DataFrame:
     return dictionary(spark, sf_dir).select("word", F.lit("ADGS").alias("aff"))
 
@@ -419,26 +432,26 @@ def pipe_report(spark, sf_dir):
 def corrected_text(spark, sf_dir):
     """Benchmark texts with each unknown word replaced by its first fast suggestion."""
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    d = dictionary(spark, sf_dir)
-    bad = check.misspelled(texts, d)
+    d = vocabulary(spark, sf_dir)[1]
+    bad = stage(check.misspelled(texts, d), "misspelled")
     best = suggest.suggest(bad.select("word"), d, "ultra", limit=1)
     return report.replace_all(texts, bad, best.select(F.col("q").alias("mis"), F.col("suggestion").alias("cor")))
 
 
-def _misspelt(spark, sf_dir) -> DataFrame:
+def _misspelt(entries: DataFrame) -> DataFrame:
     """mis, cor: entries of five letters and more with their third and fourth letter swapped, where that is no entry."""
-    d = dictionary(spark, sf_dir).where(F.length("word") >= 5)
     w = F.col("word")
-    made = d.select(F.concat(F.substring(w, 1, 2), F.substring(w, 4, 1), F.substring(w, 3, 1), w.substr(F.lit(5), F.length(w))).alias("mis"), w.alias("cor"))
-    return check.incorrect(made, dictionary(spark, sf_dir), "mis")
+    made = entries.where(F.length("word") >= 5).select(F.concat(F.substring(w, 1, 2), F.substring(w, 4, 1), F.substring(w, 3, 1), w.substr(F.lit(5), F.length(w))).alias("mis"), w.alias("cor"))
+    return check.incorrect(made, entries, "mis")
 
 
 @query()
 def hit_rate_tally(spark, sf_dir):
-    """How often the ultra and fast modes find the entry that a swap of letters hid, and at which rank."""
-    pairs, d = _misspelt(spark, sf_dir), dictionary(spark, sf_dir)
+    """How often the modes ultra, fast and normal find the entry that a swap of letters hid, and at which rank."""
+    d = vocabulary(spark, sf_dir)[1]
+    pairs = stage(_misspelt(d), "misspelt")
     out = None
-    for mode in ("ultra", "fast"):
+    for mode in ("ultra", "fast", "normal"):
         found = suggest.suggest(pairs.select(F.col("mis").alias("word")), d, mode, limit=100)
         ranks = pairs.join(found.select(F.col("q").alias("mis"), F.col("suggestion").alias("cor"), "rank"), ["mis", "cor"], "left").select(F.lit(mode).alias("mode"), F.coalesce("rank", F.lit(0)).alias("rank"))
         one = report.hit_rates(ranks, ["mode"])
