@@ -148,3 +148,10 @@ def sql_clean(x: str) -> str:
 
 def sql_accepts(w: str, d: str) -> str:
     return f"({w} = {d} OR {w} = upper({d}[1]) || {d}[2:] OR {w} = upper({d}))"
+
+
+def soundslike_alphabet(spark, language: Language = ENGLISH):
+    """letter: what the language's soundslikes may hold, at their beginning or behind it."""
+    letters = [c for c in map(chr, range(97, 592)) if c.isalpha()]
+    rows = spark.createDataFrame([(w,) for c in letters for w in (c, f"b{c}")], "word string")
+    return rows.select(F.explode(F.split(soundslike("word", language.soundslike), "")).alias("letter")).where("letter <> ''").distinct()

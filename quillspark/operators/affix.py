@@ -31,6 +31,19 @@ def parse_affix(lines: list[str] | str) -> list[tuple[str, str, bool, str, str,
     return out
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of an affix file as they stand."""
+    return spark.read.text(path)
+
+
+def rule_lines(affixes: DataFrame) -> list[str]:
+    """An affix file of rules: what parse_affix() reads."""
+    blocks: dict[tuple[str, str, bool], list[str]] = {}
+    for r in affixes.orderBy("kind", "flag", "append", "strip", "cond").collect():  # as many as an affix file has
+        blocks.setdefault((r["kind"], r["flag"], r["cross"]), []).append(f"{r['kind']} {r['flag']} {r['strip'] or 0} {r['append'] or 0} {r['cond'] or '.'}")
+    return [line for (kind, flag, cross), own in blocks.items() for line in (f"{kind} {flag} {'Y' if cross else 'N'} {len(own)}", *own)]
+
+
 def rules(spark: SparkSession, lines: list[str] | str) -> DataFrame:
     return spark.createDataFrame(parse_affix(lines), RULES)
 
@@ -149,11 +162,53 @@ def munch_list_simple(words: DataFrame, affixes: DataFrame) -> DataFrame:
     return kept.join(flags.withColumnRenamed("root", "word"), "word", "left").select("word", F.coalesce("aff", F.lit("")).alias("aff"))
 
 
+def set_cover(sets: dict[str, set[str]]) -> dict[str, set[str]]:
+    """Chosen names, each with what it is the first to cover. All sets together are covered.
+
+    Until nothing is left: sets that lie in another go, sets that alone have an element are taken; if neither happens,
+    the largest is taken, of several the first by name. What is covered then counts no more."""
+    left = {k: set(v) for k, v in sets.items() if v}
+    owners: dict[str, set[str]] = {}
+    for name, own in left.items():
+        for x in own:
+            owners.setdefault(x, set()).add(name)
+    chosen: dict[str, set[str]] = {}
+
+    def drop(name: str) -> None:
+        for x in left.pop(name):
+            owners[x].discard(name)
+
+    def take(name: str) -> None:
+        gain = chosen[name] = set(left[name])
+        for x in gain:
+            for other in owners.pop(x):
+                left[other].discard(x)
+        left.pop(name)
+
+    open_ = sorted(left)
+    while left:
+        before = len(left)
+        # only a set that shares its rarest element can hold another one
+        for name in sorted(open_, key=lambda n: (len(left.get(n, ())), n)):
+            own = left.get(name)
+            if own is None:
+                continue
+            if not own or any(other != name and own <= left[other] for other in owners[min(own, key=lambda x: (len(owners[x]), x))]):
+                drop(name)
+        for name in sorted(left):
+            if name in left and any(len(owners[x]) == 1 for x in left[name]):
+                take(name)
+        if left and len(left) == before:
+            take(min(left, key=lambda n: (-len(left[n]), n)))
+        open_ = list(left)
+    return chosen
+
+
 def munch_list(words: DataFrame, affixes: DataFrame) -> DataFrame:
     """word, aff: a small set of flagged roots whose expansion is the list, by set cover in each connected part.
 
-    Roots and the words they make are linked; each connected part is covered on its own: roots that alone cover a
-    word are kept, roots whose words others cover go, the rest is chosen greedily by new words, then by name."""
+    Roots and the words they make are linked; each connected part is covered on its own, in one task: a part holds
+    words that affixes make of each other, not more with more words of other roots."""
     from pyspark.sql import types as T
 
     own = words.select("word").distinct()
@@ -168,22 +223,11 @@ def munch_list(words: DataFrame, affixes: DataFrame) -> DataFrame:
     def cover(pdf):
         import pandas as pd
 
-        sets: dict[str, set[str]] = {}
         flags: dict[str, dict[str, set[str]]] = {}
         for root, flag, form in zip(pdf["root"], pdf["flag"], pdf["form"], strict=True):
-            sets.setdefault(root, {root}).add(form)
             flags.setdefault(root, {}).setdefault(flag, set()).add(form)
-        need = set().union(*sets.values())
-        chosen: dict[str, set[str]] = {}
-        while need:
-            root = max(sorted(sets), key=lambda r: len(sets[r] & need))
-            gain = sets.pop(root) & need
-            if not gain:
-                break
-            need -= gain
-            chosen[root] = gain
         out = []
-        for root, gain in chosen.items():
+        for root, gain in set_cover({r: {r}.union(*own.values()) for r, own in flags.items()}).items():
             used, rest = "", gain - {root}
             for flag in sorted(flags[root], key=lambda f: (-len(flags[root][f]), f)):
                 if flags[root][flag] & rest:

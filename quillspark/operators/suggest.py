@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.distance import FAR, STANDARD_ROWS, ngram_score, osa_distance, typo_distance
 from quillspark.functions.language import ENGLISH, Language, case_pattern, clean, fix_case, soundslike, split_camel, stripped
-from quillspark.operators.check import correct
+from quillspark.operators.check import correct, incorrect
 from quillspark.storage import stage
 
 
@@ -189,9 +189,14 @@ def table_replacements(q: DataFrame, dictionary: DataFrame, table: DataFrame) ->
     return made.join(dictionary.select(F.col("word").alias("cand"), F.col("clean").alias("_k")), "_k").select("q", "cand").distinct()
 
 
-def listed_replacements(q: DataFrame, pairs: DataFrame) -> DataFrame:
-    """q, cand: corrections that a replacement list (mis, cor) has for the word, by its key."""
-    return q.select("q", "clean").join(pairs.select(clean("mis").alias("clean"), F.col("cor").alias("cand")), "clean").select("q", "cand").distinct()
+def listed_replacements(q: DataFrame, pairs: DataFrame, dictionary: DataFrame | None = None, language: Language = ENGLISH) -> DataFrame:
+    """q, cand: corrections that a replacement list (mis, cor) has for the word, by its key; with a dictionary only those whose words it accepts."""
+    found = q.select("q", "clean").join(pairs.select(clean("mis").alias("clean"), F.col("cor").alias("cand")), "clean").select("q", "cand").distinct()
+    if dictionary is None:
+        return found
+    halves = F.split("cand", " ", 2)
+    cut = found.select("q", "cand", halves[0].alias("head"), F.coalesce(F.get(halves, 1), halves[0]).alias("tail"))
+    return correct(correct(cut, dictionary, "head", language), dictionary, "tail", language).select("q", "cand").distinct()
 
 
 FOUND = ("q", "cand", "given", "kind", "counted")
@@ -215,7 +220,7 @@ def candidates(q: DataFrame, dictionary: DataFrame, mode: Mode, table: DataFrame
     if table is not None and mode.repl_table:
         found.append(_found(table_replacements(q, dictionary, table), "table", F.lit(REPLACED)))
     if pairs is not None:
-        found.append(_found(listed_replacements(q, pairs), "listed"))
+        found.append(_found(listed_replacements(q, pairs, dictionary, language), "listed"))
     found.append(_found(scan(q, dictionary, max(e for e in mode.scans if e < 2)), "scan"))
     every = found[0]
     for more in found[1:]:
@@ -314,6 +319,11 @@ def ranked(q: DataFrame, scores: DataFrame, mode: Mode) -> DataFrame:
     return kept.select("q", "rank", "suggestion", F.when(F.col("adj") >= FAR, F.col("adj") - FAR).otherwise(F.col("adj")).alias("adj"))
 
 
+def with_scores(rows: DataFrame, adj: str = "adj") -> DataFrame:
+    """rows with distance (a hundredth of the adjusted score) and normalized_score (1 for a perfect match, towards 0)."""
+    return rows.withColumns({"distance": F.col(adj) / 100.0, "normalized_score": 100.0 / (F.col(adj) + 100)})
+
+
 def suggest(words: DataFrame, dictionary: DataFrame, mode: str | Mode = "normal", table: DataFrame | None = None, pairs: DataFrame | None = None, keyboard: tuple[str, ...] | None = STANDARD_ROWS, camel: bool = False, limit: int | None = None, word: str = "word", language: Language = ENGLISH) -> DataFrame:
     """q, rank, suggestion, adj for each distinct word; words without any suggestion have no rows. limit: a top-k."""
     m = MODES[mode] if isinstance(mode, str) else mode
@@ -338,6 +348,24 @@ def suggest(words: DataFrame, dictionary: DataFrame, mode: str | Mode = "normal"
     return ranked(q, scored(told, m, keyboard), m)
 
 
+def camel_parts(words: DataFrame, dictionary: DataFrame, word: str = "word", language: Language = ENGLISH) -> DataFrame:
+    """word, prefix, wrong, suffix of camel-case words with exactly one part that no entry accepts."""
+    parts = words.select(F.col(word).alias("word")).distinct().withColumn("parts", split_camel("word")).where(F.size("parts") > 1)
+    each = parts.select("word", F.posexplode("parts").alias("pos", "part"))
+    bad = incorrect(each, dictionary, "part", language).groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("pos", "part")).alias("x")).where("n = 1")
+    told = bad.join(parts, "word")
+    head, tail = F.slice("parts", F.lit(1), F.col("x.pos")), F.slice("parts", F.col("x.pos") + 2, F.size("parts"))
+    return told.select("word", F.array_join(head, "").alias("prefix"), F.col("x.part").alias("wrong"), F.array_join(tail, "").alias("suffix"))
+
+
+def merged(first: DataFrame, second: DataFrame, limit: int | None = None) -> DataFrame:
+    """q, rank, suggestion, adj of two lists as one: each string once, by its best score."""
+    once = first.select("q", "suggestion", "adj").unionByName(second.select("q", "suggestion", "adj")).groupBy("q", "suggestion").agg(F.min("adj").alias("adj"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("adj", "suggestion"))
+    told = once.withColumn("rank", rank).select("q", "rank", "suggestion", "adj")
+    return told if limit is None else told.where(F.col("rank") <= limit)
+
+
 def suggest_compounds(words: DataFrame, parts: DataFrame, dictionary: DataFrame, **options) -> DataFrame:
     """Suggestions for compounds with one wrong part: parts has word, prefix, wrong, suffix; the ends stay as they are."""
     one = suggest(parts.select(F.col("wrong").alias("word")), dictionary, **options)

@@ -387,6 +387,15 @@ def conversation_misspellings(spark, sf_dir):
     return check.incorrect(words, dictionary(spark, sf_dir))
 
 
+@query(
+    f"""WITH c AS (SELECT chr(CAST(i AS INT)) AS c FROM range(97, 592) r(i)), w AS (SELECT c AS word FROM c WHERE regexp_matches(c, '^\\p{{L}}$') UNION ALL SELECT 'b' || c FROM c WHERE regexp_matches(c, '^\\p{{L}}$')),
+    s AS (SELECT DISTINCT {sql_soundslike('word')} AS s FROM w), l AS (SELECT DISTINCT unnest(string_split(s, '')) AS letter FROM s) SELECT letter FROM l WHERE letter <> ''"""
+)
+def soundslike_alphabet(spark, sf_dir):
+    """Letters that soundslikes of words in Latin letters may hold."""
+    return language.soundslike_alphabet(spark)
+
+
 @query(f"WITH {KEYED} SELECT count(*) AS n FROM keyed w WHERE length(word) > 1 AND NOT {ACCEPTED}")
 def dump_and_recheck(spark, sf_dir):
     """Entries that their own dictionary rejects: none."""

@@ -249,6 +249,11 @@ def osa_folded_distance(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", distance.osa_expression(F.col("a"), F.col("b")).alias("osa"))
 
 
+@query(OSA.replace("one[length(b) + 1] AS osa", "one[length(b) + 1] AS osa, one[length(b) + 1] / CAST(100 AS DOUBLE) AS distance, CAST(100 AS DOUBLE) / (one[length(b) + 1] + 100) AS normalized_score"))
+def normalized_scores(spark, sf_dir):
+    return suggest.with_scores(_pairs(spark, sf_dir).select("a", "b", distance.osa_distance("a", "b").alias("osa")), "osa")
+
+
 #: SQL: neighbours on the keyboard, and what replacing and adding a letter costs.
 NEAR = "[" + ", ".join(f"'{a}{b}'" for a, b in sorted(distance.neighbours())) + "]"
 REPLACED = "CASE WHEN {x} = {y} THEN 0 WHEN list_contains(" + NEAR + ", {x} || {y}) THEN 70 ELSE 110 END"

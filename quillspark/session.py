@@ -15,6 +15,7 @@ from quillspark.operators.filters import apply_filters, chain, mode_chain
 from quillspark.operators.tokenize import tokens
 from quillspark.sources import dictionaries
 from quillspark.sources.options import Options
+from quillspark.storage import stage
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,14 @@ class Speller:
         pairs = None if self.options["ignore-repl"] else self.pairs
         m = suggest.MODES[mode or self.options["sug-mode"]]
         m = replace(m, split_chars=tuple(self.options["sug-split-char"]), typo_analysis=m.typo_analysis and self.options["sug-typo-analysis"])
-        return suggest.suggest(self._frame(words), self.dictionary, m, table, pairs, keyboard, self.options["camel-case"], limit, language=self.language)
+        rows, camel = self._frame(words), self.options["camel-case"]
+        found = suggest.suggest(rows, self.dictionary, m, table, pairs, keyboard, camel, limit, language=self.language)
+        if not camel:
+            return found
+        # of a word with one wrong part: that part's suggestions inside the word
+        parts = stage(suggest.camel_parts(rows, self.dictionary, language=self.language), "parts")
+        inner = suggest.suggest_compounds(rows, parts, self.dictionary, mode=m, table=table, pairs=pairs, keyboard=keyboard, limit=limit, language=self.language)
+        return suggest.merged(found, inner.withColumnRenamed("word", "q"), limit or m.limit)
 
     def report(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Protocol lines of all tokens."""

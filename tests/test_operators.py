@@ -326,3 +326,27 @@ def test_ngrams_score_all_soundslikes(spark):
         found = sorted(((n, s) for s in sounds if (n := score(w, s)) > 0), reverse=True)
         want |= {(w, s, n) for n, s in found if n >= found[:10][-1][0]}
     assert {tuple(r) for r in suggest.ngrams(q, d).collect()} == want
+
+
+def test_set_cover():
+    """Covers all; never more sets than greedy choice alone takes by more than the best needs; subsets and unique sets are used."""
+    import random
+    from itertools import combinations
+
+    assert affix.set_cover({"a": {1, 2}, "b": {2}, "c": {3}}) == {"a": {1, 2}, "c": {3}}
+    assert affix.set_cover({}) == {}
+    rng = random.Random(3)
+    for _ in range(200):
+        sets = {f"s{i}": set(rng.sample(range(8), rng.randint(1, 4))) for i in range(rng.randint(1, 7))}
+        whole = set().union(*sets.values())
+        chosen = affix.set_cover(sets)
+        assert set().union(*chosen.values()) == whole and sum(map(len, chosen.values())) == len(whole)
+        assert all(v <= sets[k] for k, v in chosen.items())
+        best = next(n for n in range(1, 9) if any(set().union(*(sets[k] for k in c)) == whole for c in combinations(sets, n)))
+        assert len(chosen) <= best + 1
+
+
+def test_rule_lines_round_trip(spark):
+    lines = ["PFX A Y 1", "PFX A 0 re .", "SFX D N 2", "SFX D e ed e", "SFX D 0 ed [^e]"]
+    table = affix.rules(spark, lines)
+    assert sorted(affix.parse_affix(affix.rule_lines(table))) == sorted(affix.parse_affix(lines))

@@ -99,3 +99,16 @@ def test_hardness(spark):
     told = spark.createDataFrame([(a, b, c, d, True) for a, b, c, d in rows], "q string, cand string, score int, c_clean string, counted boolean")
     cands = told.select("q", "cand").unionByName(spark.createDataFrame([("few", "far"), ("many", "far")], "q string, cand string"))
     assert {r.q: r.hard for r in suggest.hardness(q, cands, told, mode).collect()} == {"none": 3, "near": 1, "few": 2, "many": 0}
+
+
+def test_one_wrong_part_of_a_camel_case_word(spark):
+    words = ["house", "mouse", "garden"]
+    found = {(r.q, r.suggestion) for r in Speller.build(spark, words, sug_mode="ultra", camel_case="true").suggest(["HuoseGarden", "hosueGarden"]).collect()}
+    assert ("HuoseGarden", "HouseGarden") in found and ("hosueGarden", "houseGarden") in found
+
+
+def test_listed_corrections_have_to_be_words(spark):
+    words = dictionaries.build(spark.createDataFrame([("the", ""), ("cat", "")], "word string, aff string"))
+    pairs = spark.createDataFrame([("teh", "the"), ("teh", "thee"), ("tehcat", "the cat"), ("tehcat", "the cot")], "mis string, cor string")
+    q = suggest.queries(spark.createDataFrame([("teh",), ("tehcat",)], "word string"))
+    assert {tuple(r) for r in suggest.listed_replacements(q, pairs, words).collect()} == {("teh", "the"), ("tehcat", "the cat")}
