@@ -93,3 +93,18 @@ def batches(rows: Iterator, size: int = 128, weight: int = 1 << 20, text: int =
 def _sliced(batch, size: int) -> Iterator[tuple]:
     for i in range(0, batch.num_rows, size):
         yield from zip(*(c.to_pylist() for c in batch.slice(i, size).columns), strict=True)
+
+
+def slices(batch, size: int = 128, weight: int = 1 << 20) -> Iterator:
+    """Cuts an Arrow batch into slices of at most size rows, and of about weight bytes in the first column."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
+    start = n = 0
+    for i, length in enumerate(lengths):
+        n += length
+        if n >= weight or i + 1 - start >= size:
+            yield batch.slice(start, i + 1 - start)
+            start, n = i + 1, 0
+    if start < len(lengths):
+        yield batch.slice(start)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import batches, field, quoted
+from quillspark.llm.common import batches, field, quoted, slices
 
 #: Words a repeat has at least; share of covered words and length of one repeat that are still kept.
 MIN_MATCH, MAX_COVERED, MAX_REPEAT = 10, 0.2, 200
@@ -188,8 +188,7 @@ def keep_by_rules(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in rows:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch):
                 kept = pa.array([x[-1] for x in describe(part.column(0).to_pylist())], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(1).filter(kept)], ["doc"])
 
