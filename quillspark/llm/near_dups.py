@@ -40,7 +40,7 @@ MISS, MINIMA = 2.5e-7, 135
 #: Standard deviations below the similarity down to which signatures may agree: about one pair in a million agrees less.
 DEVIATIONS = 5.4
 #: Rows and shingles of a tile on each side; identifiers up to which they are broadcast (24 bytes each).
-TILE, TILE_SHINGLES, BROADCAST_ROWS = 256, 1 << 19, 100_000
+TILE, TILE_SHINGLES, BROADCAST_ROWS = 1024, 1 << 19, 100_000
 #: Counters of shingles: they only order shingles, so shingles may share one.
 COUNTERS = 1 << 20
 
