@@ -195,7 +195,8 @@ def run_together(spark, sf_dir):
     return check.run_together(*vocabulary(spark, sf_dir))
 
 
-CAMEL = "upper({x}[1]) || lower({x}[2:])"
+#: SQL: a word with a first capital; that of a sharp s are two letters.
+CAMEL = "CASE WHEN {x}[1] = 'ß' THEN 'SS' ELSE upper({x}[1]) END || lower({x}[2:])"
 
 
 @query(
