@@ -24,7 +24,7 @@ LETTERS = (DOCUMENTS, [(i, KNOWN, "en", "a", 0) for i in range(3)] + [(3, TYPED,
 ITEMS = ("item_id long, text string", [(i, w) for i, w in enumerate(TYPED.split())])
 
 
-@pytest.mark.parametrize("name", ["one_edit_candidates", "scan1_soundslike"])
+@pytest.mark.parametrize("name", ["one_edit_candidates", "scan1_soundslike", "pipe_report"])
 def test_letters_of_several_bytes(spark, tmp_path, name):
     ours, theirs = twin(spark, tmp_path, name, documents=LETTERS, benchmark=ITEMS)
     assert ours == theirs and ours
