@@ -28,3 +28,11 @@ ITEMS = ("item_id long, text string", [(i, w) for i, w in enumerate(TYPED.split(
 def test_letters_of_several_bytes(spark, tmp_path, name):
     ours, theirs = twin(spark, tmp_path, name, documents=LETTERS, benchmark=ITEMS)
     assert ours == theirs and ours
+
+
+TEXTS = [None, "", "\n", "\nOnne ti.", "3.\nOf the", "3. Of the\nand 4.", "Onne\n4) ti\n12. and\nof &&& it", "Of.\n\n7. The\n\n8. or", "2) an\n   3. is", "Ha\n \nit 3.", "+1 (219) 555\n69.1.2.3 the"]
+
+
+def test_markdown_of_numbers_and_empty_lines(spark, tmp_path):
+    ours, theirs = twin(spark, tmp_path, "markdown_filter", documents=(DOCUMENTS, [(i, t, "en", "a", 0) for i, t in enumerate(TEXTS)]))
+    assert ours == theirs and len(ours) == len(TEXTS)
