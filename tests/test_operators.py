@@ -403,6 +403,6 @@ def test_a_limit_keeps_the_first(spark):
 
     rng = random.Random(7)
     words = sorted({"".join(rng.choices("aeont", k=rng.randint(3, 6))) for _ in range(500)})
-    d = dictionaries.build(frame(spark, words[::2]))
+    d = dictionaries.build(frame(spark, words[::2]).withColumn("aff", F.lit("")))
     few, all_ = (suggest.suggest(frame(spark, words[1::40]), d, "fast", limit=limit).collect() for limit in (3, 1000))
     assert {tuple(r) for r in few} == {tuple(r) for r in all_ if r["rank"] <= 3} and len(all_) > 3 * len(few)
