@@ -440,3 +440,56 @@ def test_pairs_of_scans_are_written_once(spark, monkeypatch):
     suggest.suggest(frame(spark, ["thier", "tehre", "othre"]), d, "fast", limit=5).collect()
     rows = {name: df.select("q", "cand") for name, df in written if name in ("scans", "distances")}
     assert rows["scans"].join(rows["distances"], ["q", "cand"]).isEmpty()
+
+
+def test_near_soundslikes_by_row_and_by_pair(spark):
+    """Soundslikes grouped by row, and told pair by pair without a join, are those of near_sounds()."""
+    import random
+
+    rng = random.Random(8)
+    a, b = (spark.createDataFrame([(s,) for s in sorted({"".join(rng.choices("*kt", k=rng.randint(0, 6))) for _ in range(60)})], f"{name} string") for name in "ab")
+    for edits in (0, 1, 2):
+        want = {tuple(r) for r in suggest.near_sounds(a, b, edits).select("a", "b").collect()}
+        rows = suggest.sounds_of(a, b, edits).collect()
+        assert {(r["a"], x) for r in rows for x in r["bs"]} == want and sum(len(r["bs"]) for r in rows) == len(want) > 0
+        assert {tuple(r) for r in a.crossJoin(b).where(suggest.are_near(F.col("a"), F.col("b"), edits)).collect()} == want
+
+
+def test_ranked_by_score_only_the_best_are_weighed(monkeypatch):
+    """Where the score ranks, entries that the wanted ones are sure to beat get no weighted distance; the best are those of all."""
+    import random
+
+    import pyarrow as pa
+
+    from quillspark.functions.distance import osa
+    from quillspark.operators import nearest
+
+    rng = random.Random(9)
+    ys = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(3000)} | {"z" * 30})
+    index = nearest.Entries([{"b": "B", "ys": [{"y": y, "plain": True} for y in ys]}])
+    words, pairs = pa.array([{"a": "A", "x": "abcdef", "plain": True}]), pa.array([{"a": "A", "bs": ["B", "C"]}])
+    weighed, real = [], nearest.osa_coded
+    monkeypatch.setattr(nearest, "osa_coded", lambda sizes, *more: (weighed.append(sizes.shape[1]), real(sizes, *more))[1])
+    xs, who, whom, word, sound = nearest._near(index, words, pairs, nearest.Rule(45, 55, 125, 2, 10))
+    got = sorted(((45 * w + 55 * s) // 100, index.strings[y]) for y, w, s in zip(whom, word, sound, strict=True) if y >= 0)
+    scores = sorted((45 * osa("abcdef", y) + 55 * 100) // 100 for y in ys)
+    assert [s for s, _ in got[:10]] == scores[:10] and -1 in whom and xs == ["abcdef"]
+    assert weighed[0] == 1 and weighed[1] < len(ys) / 4
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from quillspark.storage import stage
+
+    def files():
+        return {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before = files()
+    stage(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(20):  # they go meanwhile
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before
